@@ -1,4 +1,4 @@
-"""Key-press rules over event tables ``(user_id, at, event_id[, key, action])``; ``at`` is in microseconds.
+"""Key-press rules over event tables ``(user_id, at_us, event_id[, key, action])``.
 
 Both rules look back without a limit, yet no task holds all events of a user: a user's time line is cut
 into slots, each slot is worked on by itself, and one summary row per slot carries what the next slot
@@ -16,35 +16,30 @@ SLOT_MICROS = 3_600_000_000
 
 
 def _slotted(events: DataFrame, slot: int, *columns: str) -> DataFrame:
-    return events.select("user_id", "at", "event_id", *columns).withColumn(
-        "_slot", F.floor(F.col("at") / slot).cast("bigint")
+    return events.select("user_id", "at_us", "event_id", *columns).withColumn(
+        "_slot", F.floor(F.col("at_us") / slot).cast("bigint")
     )
 
 
 def _in_slot():
-    return Window.partitionBy("user_id", "_slot").orderBy("at", "event_id")
+    return Window.partitionBy("user_id", "_slot").orderBy("at_us", "event_id")
 
 
 def _so_far(window):
     return window.rowsBetween(Window.unboundedPreceding, Window.currentRow)
 
 
-def double_trigger(
-    events: DataFrame, gap: int = S.DOUBLE_TRIGGER_GAP_MICROS, slot: int = SLOT_MICROS
-) -> DataFrame:
-    """The presses that complete a pair: at most ``gap`` after an unpaired press of the same user.
-
-    A firing uses both presses up, so in a run of presses with small gaps every second one fires.
-    """
+def placed_presses(events: DataFrame, gap: int, slot: int = SLOT_MICROS) -> DataFrame:
+    """Each press with its ``place`` (1, 2, ...) in its run: presses at most ``gap`` apart."""
     w = _in_slot()
     rows = _slotted(events, slot)
-    rows = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_prev", F.lag("at").over(w))
-    starts = F.col("_prev").isNull() | (F.col("at") - F.col("_prev") > gap)
+    rows = rows.withColumn("_rn", F.row_number().over(w)).withColumn("_prev", F.lag("at_us").over(w))
+    starts = F.col("_prev").isNull() | (F.col("at_us") - F.col("_prev") > gap)
     rows = rows.withColumn("_run_start", F.max(F.when(starts, F.col("_rn"))).over(_so_far(w)))
 
     per_slot = rows.groupBy("user_id", "_slot").agg(
-        F.min("at").alias("first_at"),
-        F.max("at").alias("last_at"),
+        F.min("at_us").alias("first_at"),
+        F.max("at_us").alias("last_at"),
         (F.max("_rn") - F.max("_run_start") + 1).alias("tail"),
         (F.max("_run_start") == 1).alias("one_run"),
     )
@@ -60,10 +55,20 @@ def double_trigger(
     carried = per_slot.select("user_id", "_slot", F.sum("_add").over(_so_far(by_chain)).alias("_carry"))
 
     carry = F.when(F.col("_run_start") == 1, F.col("_carry")).otherwise(0)
-    position = F.col("_rn") - F.col("_run_start") + 1 + carry
-    return (
-        rows.join(carried, ["user_id", "_slot"]).where(position % 2 == 0).select("user_id", "at", "event_id")
-    )
+    place = F.col("_rn") - F.col("_run_start") + 1 + carry
+    return rows.join(carried, ["user_id", "_slot"]).select("user_id", "at_us", "event_id", place.alias("place"))
+
+
+def fired(placed: DataFrame) -> DataFrame:
+    """A firing uses two presses up, so in a run every second press fires."""
+    return placed.where(F.col("place") % 2 == 0).drop("place")
+
+
+def double_trigger(
+    events: DataFrame, gap: int = S.DOUBLE_TRIGGER_GAP_MICROS, slot: int = SLOT_MICROS
+) -> DataFrame:
+    """The presses that complete a pair: at most ``gap`` after an unpaired press of the same user."""
+    return fired(placed_presses(events, gap, slot))
 
 
 def chord_held(events: DataFrame, slot: int = SLOT_MICROS) -> DataFrame:
@@ -73,7 +78,7 @@ def chord_held(events: DataFrame, slot: int = SLOT_MICROS) -> DataFrame:
     control = F.when(F.col("key") == "ctrl", F.col("action"))
     rows = rows.withColumn("_state", F.last(control, ignorenulls=True).over(_so_far(w)))
 
-    when_ctrl = F.when(F.col("key") == "ctrl", F.struct("at", "event_id"))
+    when_ctrl = F.when(F.col("key") == "ctrl", F.struct("at_us", "event_id"))
     per_slot = rows.groupBy("user_id", "_slot").agg(F.max_by("action", when_ctrl).alias("_last"))
     per_slot = per_slot.join(
         rows.where(F.col("key") == "ctrl").select("user_id", "_slot").distinct().withColumn("_seen", F.lit(True)),
@@ -90,7 +95,7 @@ def chord_held(events: DataFrame, slot: int = SLOT_MICROS) -> DataFrame:
     )
     held = F.coalesce(F.col("_state"), F.col("_carry")) == "down"
     press = (F.col("key") == "c") & (F.col("action") == "down")
-    return rows.join(carried, ["user_id", "_slot"]).where(press & held).select("user_id", "at", "event_id")
+    return rows.join(carried, ["user_id", "_slot"]).where(press & held).select("user_id", "at_us", "event_id")
 
 
 def double_chord(events: DataFrame, gap: int = S.DOUBLE_TRIGGER_GAP_MICROS, slot: int = SLOT_MICROS) -> DataFrame:

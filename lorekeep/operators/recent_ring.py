@@ -13,6 +13,7 @@ two or three rounds do on mixed data; in the worst case the rounds are the block
 from __future__ import annotations
 
 from collections.abc import Iterable
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
@@ -47,14 +48,25 @@ def _flags(group: pd.DataFrame) -> pd.DataFrame:
     return group[["key", "seq", "hash"]].assign(accepted=flags)
 
 
-def recent_ring(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
-    """``rows(key, seq, hash)`` with ``accepted``; ``seq`` is unique."""
+@dataclass(frozen=True)
+class RingResult:
+    """``rows(key, seq, hash, accepted)`` and the ring ``rings(key, ring)`` each key ends with."""
+
+    rows: DataFrame
+    rings: DataFrame
+
+
+def recent_ring(rows: DataFrame, block: int = BLOCK_ROWS, given: DataFrame | None = None) -> RingResult:
+    """Decides every row of ``rows(key, seq, hash)``; ``seq`` is unique and ``given(key, ring)`` are the
+    rings to start from (empty by default)."""
     seq_type = rows.schema["seq"].dataType.simpleString()
     blocked = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").withColumn(
         "_block", F.floor(F.col("seq") / block).cast("bigint")
     )
     on = ["key", "_block"]
     empty = F.array().cast("array<string>")
+    by_key = Window.partitionBy("key").orderBy("_block")
+    has_next = F.lead("_block").over(by_key).isNotNull()
 
     def ends(starts: DataFrame) -> DataFrame:
         return (
@@ -63,26 +75,41 @@ def recent_ring(rows: DataFrame, block: int = BLOCK_ROWS) -> DataFrame:
             .applyInPandas(_end_state, "key string, _block bigint, _end array<string>")
         )
 
-    # The first block of a key is right from the start, and a key with one block needs no round at all.
-    starts = blocked.select(*on).distinct().withColumn("_start", empty)
-    starts = stage(starts.withColumn("_end", F.lit(None).cast("array<string>")), "ring")
-    previous = Window.partitionBy("key").orderBy("_block")
-    has_next = F.lead("_block").over(previous).isNotNull()
-    stale = starts.withColumn("_next", has_next).where("_next").select(*on, "_start")
-    while not stale.isEmpty():
-        done = ends(stale).withColumnRenamed("_end", "_new_end")
-        states = starts.join(done, on, "left").withColumn("_end", F.coalesce("_new_end", "_end")).drop("_new_end")
-        handed_on = F.coalesce(F.lag("_end").over(previous), empty)
+    # The first block of a key starts from its given ring; the others guess an empty one.
+    blocks = blocked.select(*on).distinct()
+    rings = blocks.withColumn("ring", empty) if given is None else blocks.join(given, "key", "left")
+    first = F.lag("_block").over(by_key).isNull()
+    states = stage(
+        rings.select(
+            *on,
+            F.when(first, F.coalesce("ring", empty)).otherwise(empty).alias("_start"),
+            F.lit(None).cast("array<string>").alias("_end"),
+            has_next.alias("_has_next"),
+            has_next.alias("_stale"),
+        ),
+        "ring",
+    )
+    while not states.where("_stale").isEmpty():
+        done = ends(states.where("_stale").select(*on, "_start")).withColumnRenamed("_end", "_new_end")
+        handed_on = F.coalesce(F.lag("_end").over(by_key), F.col("_start"))
         states = stage(
-            states.withColumn("_given", handed_on).withColumn(
-                "_changed", has_next & (F.col("_given") != F.col("_start"))
+            states.join(done, on, "left")
+            .withColumn("_end", F.coalesce("_new_end", "_end"))
+            .withColumn("_given", handed_on)
+            .select(
+                *on,
+                F.col("_given").alias("_start"),
+                "_end",
+                "_has_next",
+                (F.col("_has_next") & (F.col("_given") != F.col("_start"))).alias("_stale"),
             ),
             "ring",
         )
-        starts = states.select(*on, F.col("_given").alias("_start"), "_end")
-        stale = states.where("_changed").select(*on, F.col("_given").alias("_start"))
-    return (
-        blocked.join(starts.select(*on, "_start"), on)
+    starts = states.select(*on, "_start")
+    flagged = (
+        blocked.join(starts, on)
         .groupBy(*on)
         .applyInPandas(_flags, f"key string, seq {seq_type}, hash string, accepted boolean")
     )
+    last = ends(states.where(~F.col("_has_next")).select(*on, "_start"))
+    return RingResult(flagged, last.select("key", F.col("_end").alias("ring")))

@@ -199,7 +199,7 @@ def analyze_captures(
         ring = recent_ring(
             pending.select(F.col(throttle_by).alias("key"), F.col("id").alias("seq"), content_hash(F.col("content")).alias("hash"))
         )
-        ring = stage(ring.select(F.col("seq").alias("id"), "accepted"), "throttle")
+        ring = stage(ring.rows.select(F.col("seq").alias("id"), "accepted"), "throttle")
         refused = ring.where(~F.col("accepted")).select(
             "id", F.lit("throttled").alias("status"), F.lit("").alias("error")
         )

@@ -20,7 +20,7 @@ def build_session(name: str = "lorekeep", master: str | None = None, **conf: str
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),
-    } | {k.replace("__", "."): v for k, v in conf.items()}
+    } | conf
     for key, value in settings.items():
         builder = builder.config(key, value)
     return builder.getOrCreate()

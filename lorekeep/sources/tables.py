@@ -8,7 +8,7 @@ being read is never overwritten and a failed write stays unseen.  Appends go to
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.types import StructType
+from pyspark.sql.types import LongType, StructType
 
 
 def _list(spark: SparkSession, path: str) -> list[str]:
@@ -43,6 +43,6 @@ def read_parts(spark: SparkSession, path: str, schema: StructType, before: int |
     """All parts, or those of earlier batches; the filter prunes folders."""
     if not any(name.startswith("batch_id=") for name in _list(spark, path)):
         return spark.createDataFrame([], schema)
-    full = StructType(list(schema.fields)).add("batch_id", "bigint")
+    full = StructType(list(schema.fields)).add("batch_id", LongType())
     rows = spark.read.schema(full).parquet(path)
     return (rows if before is None else rows.where(F.col("batch_id") < before)).drop("batch_id")

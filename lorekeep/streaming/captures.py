@@ -11,7 +11,6 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
-from pyspark.sql.streaming import StreamingQuery
 
 from lorekeep import schemas as S
 from lorekeep.operators.captures import captured_rows, keyed_captures
@@ -76,12 +75,3 @@ class CaptureSink:
         resolved = resolve_keys(keyed, stored, "dedup_key")
         write_part(created_solutions(requests, resolved, self.as_of), f"{self.root}/solutions", batch_id)
 
-
-def capture_stream(rows: DataFrame, sink: CaptureSink, checkpoint: str) -> StreamingQuery:
-    """Runs all available input through ``sink``; run it again for what has arrived since."""
-    return (
-        rows.writeStream.foreachBatch(sink)
-        .option("checkpointLocation", checkpoint)
-        .trigger(availableNow=True)
-        .start()
-    )

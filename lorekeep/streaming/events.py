@@ -1,79 +1,90 @@
-"""Keyed event rules as stateful streams; the state per key is one number or three hashes."""
+"""Keyed event rules on streams.
+
+Each micro-batch runs the batch operator, which splits a hot user or key over many tasks, from the state
+the batch before it left.  The state is one small row per key, written as the snapshot of its batch;
+a replayed batch starts from the same snapshot and writes the same parts.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from dataclasses import dataclass
 
-import pandas as pd
-from pyspark.sql import DataFrame, functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
+from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from lorekeep import schemas as S
-from lorekeep.operators.recent_ring import run_ring
-
-FIRING = "user_id bigint, at bigint, event_id bigint"
-
-
-class DoubleTrigger(StatefulProcessor):
-    """State: the time of the last event and of the unpaired press.  A row older than the last event
-    of its user is dropped."""
-
-    def __init__(self, gap: int = S.DOUBLE_TRIGGER_GAP_MICROS):
-        self.gap = gap
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.press = handle.getValueState("press", "last bigint, unpaired bigint")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        last, unpaired = self.press.get() if self.press.exists() else (None, None)
-        fired: list[tuple[int, int, int]] = []
-        batch = pd.concat(list(rows)).sort_values(["at", "event_id"])
-        for at, event_id in zip(batch["at"], batch["event_id"], strict=True):
-            if last is not None and at < last:
-                continue
-            if unpaired is not None and at - unpaired <= self.gap:
-                fired.append((int(key[0]), int(at), int(event_id)))
-                unpaired = None
-            else:
-                unpaired = int(at)
-            last = int(at)
-        self.press.update((last, unpaired))
-        yield pd.DataFrame(fired, columns=["user_id", "at", "event_id"])
-
-    def close(self) -> None:
-        pass
-
-
-class RecentRing(StatefulProcessor):
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.ring = handle.getValueState("ring", "hashes array<string>")
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        start = list(self.ring.get()[0]) if self.ring.exists() else []
-        batch = pd.concat(list(rows)).sort_values("seq")
-        flags, state = run_ring(start, batch["hash"])
-        self.ring.update((state,))
-        yield batch[["key", "seq", "hash"]].assign(accepted=flags)
-
-    def close(self) -> None:
-        pass
-
-
-def double_trigger_stream(events: DataFrame, gap: int = S.DOUBLE_TRIGGER_GAP_MICROS) -> DataFrame:
-    """:func:`lorekeep.operators.events.double_trigger` on a stream of ``(user_id, at, event_id)``."""
-    return (
-        events.select("user_id", "at", "event_id")
-        .groupBy("user_id")
-        .transformWithStateInPandas(DoubleTrigger(gap), FIRING, "append", "none")
-    )
-
-
-def recent_ring_stream(rows: DataFrame) -> DataFrame:
-    """:func:`lorekeep.operators.recent_ring.recent_ring` on a stream of ``(key, seq, hash)``."""
-    return (
-        rows.select(F.col("key").cast("string").alias("key"), F.col("seq").cast("bigint").alias("seq"), "hash")
-        .groupBy("key")
-        .transformWithStateInPandas(
-            RecentRing(), "key string, seq bigint, hash string, accepted boolean", "append", "none"
+from lorekeep.operators.events import SLOT_MICROS, fired, placed_presses
+from lorekeep.operators.recent_ring import BLOCK_ROWS, recent_ring
+from lorekeep.session import stage
+from lorekeep.sources.tables import read_parts, write_part
+
+
+def _fields(*pairs) -> StructType:
+    return StructType([StructField(name, kind) for name, kind in pairs])
+
+
+FIRING = _fields(("user_id", LongType()), ("at_us", LongType()), ("event_id", LongType()))
+PRESS_STATE = _fields(("user_id", LongType()), ("last_us", LongType()), ("unpaired_us", LongType()))
+DECISION = _fields(("key", StringType()), ("seq", LongType()), ("hash", StringType()), ("accepted", BooleanType()))
+RING_STATE = _fields(("key", StringType()), ("ring", ArrayType(StringType())))
+
+EARLIEST_ID = -(1 << 63)
+
+
+def _state(spark: SparkSession, path: str, schema: StructType, batch_id: int) -> DataFrame:
+    if batch_id == 0:
+        return spark.createDataFrame([], schema)
+    return spark.read.schema(schema).parquet(f"{path}/batch_id={batch_id - 1}")
+
+
+@dataclass(frozen=True)
+class DoubleTriggerSink:
+    """Double triggers of ``(user_id, at_us, event_id)`` rows.
+
+    State: the time of a user's last press and of the unpaired one.  A press older than the last one
+    of an earlier batch is dropped.  The unpaired press re-enters the next batch as its first press, so
+    a pair may span batches.
+    """
+
+    root: str
+    gap: int = S.DOUBLE_TRIGGER_GAP_MICROS
+    slot: int = SLOT_MICROS
+
+    def firings(self, spark: SparkSession) -> DataFrame:
+        return read_parts(spark, f"{self.root}/firings", FIRING)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        before = _state(batch.sparkSession, f"{self.root}/presses", PRESS_STATE, batch_id)
+        waiting = before.where(F.col("unpaired_us").isNotNull()).select(
+            "user_id", F.col("unpaired_us").alias("at_us"), F.lit(EARLIEST_ID).alias("event_id")
+        )
+        fresh = batch.select("user_id", "at_us", "event_id").join(before.select("user_id", "last_us"), "user_id", "left")
+        fresh = fresh.where(F.col("last_us").isNull() | (F.col("at_us") >= F.col("last_us"))).drop("last_us")
+        placed = stage(placed_presses(fresh.unionByName(waiting), self.gap, self.slot), "presses")
+        write_part(fired(placed), f"{self.root}/firings", batch_id)
+
+        newest = F.struct("at_us", "event_id")
+        after = placed.groupBy("user_id").agg(
+            F.max("at_us").alias("last_us"),
+            F.max_by(F.when(F.col("place") % 2 == 1, F.col("at_us")), newest).alias("unpaired_us"),
         )
-    )
+        idle = before.join(after.select("user_id"), "user_id", "left_anti")
+        write_part(idle.unionByName(after), f"{self.root}/presses", batch_id)
+
+
+@dataclass(frozen=True)
+class RecentRingSink:
+    """The recent-ring throttle over ``(key, seq, hash)`` rows; the state is one ring per key."""
+
+    root: str
+    block: int = BLOCK_ROWS
+
+    def decisions(self, spark: SparkSession) -> DataFrame:
+        return read_parts(spark, f"{self.root}/decisions", DECISION)
+
+    def __call__(self, batch: DataFrame, batch_id: int) -> None:
+        before = _state(batch.sparkSession, f"{self.root}/rings", RING_STATE, batch_id)
+        done = recent_ring(batch, self.block, before)
+        write_part(S.conform(done.rows, DECISION), f"{self.root}/decisions", batch_id)
+        idle = before.join(done.rings.select("key"), "key", "left_anti")
+        write_part(idle.unionByName(done.rings), f"{self.root}/rings", batch_id)
