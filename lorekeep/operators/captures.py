@@ -94,36 +94,44 @@ def unanalyzed(captures: DataFrame, insights: DataFrame) -> DataFrame:
     return filter_analyzed(captures, insights, False)
 
 
-def search_captures(captures: DataFrame, insights: DataFrame, f: CaptureFilter) -> DataFrame:
-    """Captures with their insight that pass the analysed filter and the keyword.
+def matching_captures(captures: DataFrame, insights: DataFrame, f: CaptureFilter) -> DataFrame:
+    """``(id, captured_at)`` of the captures that pass the analysed filter and the keyword.
 
-    The three states of the filter give an inner, a left or an anti join, so an analysed-only search
-    never carries captures without an insight through the keyword test.
+    Each table is searched where it lies and only narrow rows are shuffled: a capture matches by its
+    own text, or because its insight matches.
     """
-    if f.analyzed is False:
-        rows = unanalyzed(captures, insights).withColumn("insight", F.lit(None).cast(_insight_type(insights)))
-    else:
-        rows = with_insight(captures, insights, "inner" if f.analyzed else "left")
+    narrow = captures.select("id", "captured_at")
     word = keyword(f.query)
-    if not word:
-        return rows
-    return rows.where(has_keyword(word, "content", "content_type", "insight.summary", "insight.category"))
+    if word:
+        own = captures.where(has_keyword(word, "content", "content_type")).select("id", "captured_at")
+        told = insights.where(has_keyword(word, "summary", "category")).select(F.col("capture_id").alias("id"))
+        narrow = own.unionByName(narrow.join(told, "id", "left_semi")).distinct()
+    return filter_analyzed(narrow, insights, f.analyzed)
+
 
+def _picked(captures: DataFrame, insights: DataFrame, ids: DataFrame) -> DataFrame:
+    """The captures of ``ids`` (unique) with their insights; both tables are reduced before they meet."""
+    told = insights.join(ids.select(F.col("id").alias("capture_id")), "capture_id", "left_semi")
+    return with_insight(captures.join(ids.select("id"), "id", "left_semi"), told)
 
-def _insight_type(insights: DataFrame):
-    return insights.select(F.struct(*insights.columns).alias("insight")).schema["insight"].dataType
+
+def search_captures(captures: DataFrame, insights: DataFrame, f: CaptureFilter) -> DataFrame:
+    return _picked(captures, insights, matching_captures(captures, insights, f))
 
 
 def list_captures(captures: DataFrame, insights: DataFrame, f: CaptureFilter) -> DataFrame:
+    """One page, newest first.  The page is found on narrow rows; only its at most 100 ids, broadcast,
+    go back for the texts."""
     limit, offset = page_bounds(f.limit, f.offset)
-    page = search_captures(captures, public_insight(insights), f)
-    return page.orderBy(F.col("captured_at").desc(), F.col("id").desc()).offset(offset).limit(limit)
+    newest = [F.col("captured_at").desc(), F.col("id").desc()]
+    page = matching_captures(captures, insights, f).orderBy(*newest).offset(offset).limit(limit)
+    return _picked(captures, public_insight(insights), F.broadcast(page)).orderBy(*newest)
 
 
 def lookup_captures(captures: DataFrame, insights: DataFrame, ids: DataFrame) -> DataFrame:
     """``(id, found, ...)`` for each asked id; a missing capture has ``found = false``."""
     asked = ids.select("id").distinct()
-    hits = with_insight(captures, public_insight(insights)).withColumn("found", F.lit(True))
+    hits = _picked(captures, public_insight(insights), asked).withColumn("found", F.lit(True))
     return asked.join(hits, "id", "left").withColumn("found", F.coalesce(F.col("found"), F.lit(False)))
 
 

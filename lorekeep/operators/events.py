@@ -16,9 +16,10 @@ SLOT_MICROS = 3_600_000_000
 
 
 def _slotted(events: DataFrame, slot: int, *columns: str) -> DataFrame:
-    return events.select("user_id", "at_us", "event_id", *columns).withColumn(
-        "_slot", F.floor(F.col("at_us") / slot).cast("bigint")
-    )
+    # Null tests are settled here, so both readers of the slotted rows share one shuffle.
+    rows = events.where(F.col("user_id").isNotNull() & F.col("at_us").isNotNull())
+    start = F.col("at_us") - F.pmod(F.col("at_us"), F.lit(slot))
+    return rows.select("user_id", "at_us", "event_id", *columns, F.coalesce(start, F.lit(0)).alias("_slot"))
 
 
 def _in_slot():
@@ -37,11 +38,18 @@ def placed_presses(events: DataFrame, gap: int, slot: int = SLOT_MICROS) -> Data
     starts = F.col("_prev").isNull() | (F.col("at_us") - F.col("_prev") > gap)
     rows = rows.withColumn("_run_start", F.max(F.when(starts, F.col("_rn"))).over(_so_far(w)))
 
-    per_slot = rows.groupBy("user_id", "_slot").agg(
-        F.min("at_us").alias("first_at"),
-        F.max("at_us").alias("last_at"),
-        (F.max("_rn") - F.max("_run_start") + 1).alias("tail"),
-        (F.max("_run_start") == 1).alias("one_run"),
+    per_slot = (
+        rows.withColumn("first_at", F.first("at_us").over(_so_far(w)))
+        .withColumn("_next", F.lead("event_id").over(w))
+        .where(F.col("_next").isNull())
+        .select(
+            "user_id",
+            "_slot",
+            "first_at",
+            F.col("at_us").alias("last_at"),
+            (F.col("_rn") - F.col("_run_start") + 1).alias("tail"),
+            (F.col("_run_start") == 1).alias("one_run"),
+        )
     )
     by_user = Window.partitionBy("user_id").orderBy("_slot")
     linked = F.coalesce(F.col("first_at") - F.lag("last_at").over(by_user) <= gap, F.lit(False))
@@ -78,20 +86,10 @@ def chord_held(events: DataFrame, slot: int = SLOT_MICROS) -> DataFrame:
     control = F.when(F.col("key") == "ctrl", F.col("action"))
     rows = rows.withColumn("_state", F.last(control, ignorenulls=True).over(_so_far(w)))
 
-    when_ctrl = F.when(F.col("key") == "ctrl", F.struct("at_us", "event_id"))
-    per_slot = rows.groupBy("user_id", "_slot").agg(F.max_by("action", when_ctrl).alias("_last"))
-    per_slot = per_slot.join(
-        rows.where(F.col("key") == "ctrl").select("user_id", "_slot").distinct().withColumn("_seen", F.lit(True)),
-        ["user_id", "_slot"],
-        "left",
-    )
-    earlier = (
-        Window.partitionBy("user_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
-    )
-    carried = per_slot.select(
-        "user_id",
-        "_slot",
-        F.last(F.when(F.col("_seen"), F.col("_last")), ignorenulls=True).over(earlier).alias("_carry"),
+    last_of_slot = rows.withColumn("_next", F.lead("event_id").over(w)).where(F.col("_next").isNull())
+    earlier = Window.partitionBy("user_id").orderBy("_slot").rowsBetween(Window.unboundedPreceding, -1)
+    carried = last_of_slot.select(
+        "user_id", "_slot", F.last("_state", ignorenulls=True).over(earlier).alias("_carry")
     )
     held = F.coalesce(F.col("_state"), F.col("_carry")) == "down"
     press = (F.col("key") == "c") & (F.col("action") == "down")

@@ -96,13 +96,16 @@ def next_id(stored: DataFrame | None, id_col: str = "id") -> int:
 def resolve_keys(keyed: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
     """Per key of the valid requests: ``(key, first_seq, n, is_new, id)``.
 
-    ``id`` is the stored id, or the next dense id in ``first_seq`` order.
+    ``id`` is the stored id, or the next dense id in ``first_seq`` order.  The stored keys are first
+    reduced to those of the batch: the size of ``keyed`` is known, so a small batch is broadcast and the
+    stored table is not shuffled for it.
     """
     firsts = first_per_key(keyed.where(F.col("reject").isNull()), key)
     if stored is None:
         firsts = firsts.withColumn("stored_id", F.lit(None).cast("bigint"))
     else:
-        firsts = firsts.join(stored.select(key, F.col("id").alias("stored_id")), key, "left")
+        held = stored.select(key, F.col("id").alias("stored_id"))
+        firsts = firsts.join(held.join(firsts.select(key), key, "left_semi"), key, "left")
     ranked = with_dense_rank(firsts, F.col("stored_id").isNotNull(), "first_seq", label="keys")
     return ranked.select(
         key,

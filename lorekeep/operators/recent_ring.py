@@ -3,9 +3,9 @@
 Rule: a row is rejected when its hash is among the last three accepted hashes of its key.  A rejected
 row changes nothing; an accepted one is pushed at the front and the ring is cut to three.
 
-The rule is sequential per key, so a key's rows are cut into blocks of the unique ``seq`` (at most
-``block`` rows each, however large the key).  All blocks run at once from a guessed starting ring; each
-round a block whose guess differs from the end of the block before it runs again.  When no guess is
+The rule is sequential per key, so the rows, sorted by key and ``seq`` over all tasks, are cut into blocks
+of at most ``2 ** block_bits`` rows, however large a key is.  All blocks run at once from a guessed
+starting ring; each round a block whose guess differs from the end of the block before it runs again.  When no guess is
 wrong, the result equals the sequential one.  A ring forgets its past after three accepted rows, so
 two or three rounds do on mixed data; in the worst case the rounds are the blocks of the largest key.
 """
@@ -21,7 +21,7 @@ from pyspark.sql import DataFrame, Window, functions as F
 from lorekeep import schemas as S
 from lorekeep.session import stage
 
-BLOCK_ROWS = 100_000
+BLOCK_BITS = 17
 
 
 def push(ring: list[str], item: str, size: int = S.RECENT_RING_SIZE) -> tuple[bool, list[str]]:
@@ -56,12 +56,13 @@ class RingResult:
     rings: DataFrame
 
 
-def recent_ring(rows: DataFrame, block: int = BLOCK_ROWS, given: DataFrame | None = None) -> RingResult:
+def recent_ring(rows: DataFrame, block_bits: int = BLOCK_BITS, given: DataFrame | None = None) -> RingResult:
     """Decides every row of ``rows(key, seq, hash)``; ``seq`` is unique and ``given(key, ring)`` are the
     rings to start from (empty by default)."""
     seq_type = rows.schema["seq"].dataType.simpleString()
-    blocked = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").withColumn(
-        "_block", F.floor(F.col("seq") / block).cast("bigint")
+    narrow = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").orderBy("key", "seq")
+    blocked = stage(
+        narrow.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), block_bits)), "ring-rows"
     )
     on = ["key", "_block"]
     empty = F.array().cast("array<string>")

@@ -107,24 +107,22 @@ def update_solutions(stored: DataFrame, updates: DataFrame, as_of=None) -> Write
     latest = (
         marks.where(F.col("reject").isNull())
         .groupBy("id")
-        .agg(F.max("seq").alias("last_seq"), F.count(F.lit(1)).alias("n"))
-    )
-    kept_fields = stored.select("id", "source_type", "source_name", "source_ref")
-    live = (
-        fresh.join(latest.select(F.col("last_seq").alias("seq"), F.col("n")), "seq")
-        .join(kept_fields, "id")
-        .select("seq", "id", "n", dedup_key().alias("new_key"))
+        .agg(F.max("seq").alias("seq"), F.count(F.lit(1)).alias("updates"))
     )
+    # The stored rows are reduced to the updated ones before anything else meets them.
+    kept_fields = stored.select("id", "source_type", "source_name", "source_ref").join(latest, "id")
+    live = fresh.drop("id").join(kept_fields, "seq").select("seq", "id", "updates", dedup_key().alias("new_key"))
     live = stage(live, "update-keys")
 
+    wanted = first_per_key(live, "new_key")
     holders = stored.select(F.col("dedup_key").alias("new_key"), F.col("id").alias("holder_id"))
-    wanted = first_per_key(live.withColumnRenamed("n", "updates"), "new_key").join(holders, "new_key", "left")
+    wanted = wanted.join(holders.join(wanted.select("new_key"), "new_key", "left_semi"), "new_key", "left")
     # The stored holder may itself be updated to the key it already has; then it is the winner.
     first = live.select(F.col("seq").alias("first_seq"), F.col("id").alias("first_id"))
     wanted = wanted.join(first, "first_seq").select(
         "new_key", "n", "first_seq", F.coalesce("holder_id", "first_id").alias("winner_id")
     )
-    decided = attach_per_key(live.withColumnRenamed("n", "updates"), wanted, "new_key").select(
+    decided = attach_per_key(live, wanted, "new_key").select(
         "seq", "id", "updates", "new_key", (F.col("winner_id") == F.col("id")).alias("applied"), "winner_id"
     )
     decided = stage(decided, "update-decisions")
@@ -133,6 +131,7 @@ def update_solutions(stored: DataFrame, updates: DataFrame, as_of=None) -> Write
         "id",
         F.struct("title", "problem", "solution_text", "status", "tags", F.col("new_key").alias("dedup_key")).alias("u"),
     )
+    accepted = stage(accepted, "updates")
     changed = F.col("u").isNotNull()
     table = stored.join(accepted, "id", "left").select(
         *[

@@ -194,7 +194,9 @@ def analyze_captures(
     executor or a later step never repeats a finished call.
     """
     extractor = extractor or calls(rule_answer)
-    pending = unanalyzed(captures, insights)
+    # The ids are compared first, so the texts of captures with an insight never move.
+    todo = stage(unanalyzed(captures.select("id"), insights), "pending")
+    pending = captures.join(todo, "id", "left_semi")
     if throttle_by:
         ring = recent_ring(
             pending.select(F.col(throttle_by).alias("key"), F.col("id").alias("seq"), content_hash(F.col("content")).alias("hash"))

@@ -15,7 +15,8 @@ from lorekeep.operators.solutions import create_solutions
 def promotion_requests(captures: DataFrame, insights: DataFrame, asked: DataFrame) -> DataFrame:
     """Create requests for ``asked(seq, id)`` (``id`` unique); captures without an insight drop out."""
     picked = captures.select("id", "content", F.col("source").alias("capture_source")).join(asked, "id")
-    return picked.join(insights.withColumnRenamed("capture_id", "id"), "id").select(
+    told = insights.withColumnRenamed("capture_id", "id").join(asked.select("id"), "id", "left_semi")
+    return picked.join(told, "id").select(
         "seq",
         first_non_blank(F.col("title"), fallback_title(F.col("content"))).alias("title"),
         "problem",

@@ -1,8 +1,9 @@
 """Continuous capture: exact deduplication against all history, with optional analysis and promotion.
 
-The stored captures are the deduplication state, so no streaming state grows without bound.  Each
-micro-batch appends one part per table, named by the batch id and computed only from earlier parts: a
-replayed batch writes the same parts again.
+The stored captures are the deduplication state, so no streaming state grows without bound.  A
+micro-batch scans the stored hashes (one column) with its own hashes broadcast while they are few, and
+appends one part per table, named by the batch id and computed only from earlier parts: a replayed
+batch writes the same parts again.
 """
 
 from __future__ import annotations
@@ -43,23 +44,12 @@ class CaptureSink:
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        keyed = keyed_captures(batch)
-        resolved = resolve_keys(keyed, self._stored_keys(spark, keyed, batch_id), "content_hash")
+        stored = self.captures(spark, batch_id)
+        resolved = resolve_keys(keyed_captures(batch), stored, "content_hash")
         write_part(captured_rows(batch, resolved, self.as_of), f"{self.root}/captures", batch_id)
         if self.auto_analyze:
             self._analyze_and_promote(spark, batch_id)
 
-    def _stored_keys(self, spark: SparkSession, keyed: DataFrame, batch_id: int) -> DataFrame:
-        """The stored ids that matter: those with a hash of this batch, and the largest one.
-
-        The batch is the small side, so Spark broadcasts its hashes (by their staged size) and the
-        stored hashes are filtered where they lie.
-        """
-        stored = self.captures(spark, batch_id).select("content_hash", "id")
-        hit = stored.join(keyed.select("content_hash").distinct(), "content_hash", "left_semi")
-        top = stored.agg(F.max("id").alias("id")).select(F.lit("").alias("content_hash"), "id")
-        return hit.unionByName(top)
-
     def _analyze_and_promote(self, spark: SparkSession, batch_id: int) -> None:
         part = spark.read.schema(S.CAPTURE).parquet(f"{self.root}/captures/batch_id={batch_id}")
         none = spark.createDataFrame([], S.INSIGHT)
@@ -71,7 +61,6 @@ class CaptureSink:
         asked = part.select(F.col("id").alias("seq"), "id")
         requests = promotion_requests(part, insights, asked)
         keyed = keyed_creates(requests)
-        stored = self.solutions(spark, batch_id).select("dedup_key", "id")
-        resolved = resolve_keys(keyed, stored, "dedup_key")
+        resolved = resolve_keys(keyed, self.solutions(spark, batch_id), "dedup_key")
         write_part(created_solutions(requests, resolved, self.as_of), f"{self.root}/solutions", batch_id)
 

@@ -14,7 +14,7 @@ from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, Stru
 
 from lorekeep import schemas as S
 from lorekeep.operators.events import SLOT_MICROS, fired, placed_presses
-from lorekeep.operators.recent_ring import BLOCK_ROWS, recent_ring
+from lorekeep.operators.recent_ring import BLOCK_BITS, recent_ring
 from lorekeep.session import stage
 from lorekeep.sources.tables import read_parts, write_part
 
@@ -77,14 +77,14 @@ class RecentRingSink:
     """The recent-ring throttle over ``(key, seq, hash)`` rows; the state is one ring per key."""
 
     root: str
-    block: int = BLOCK_ROWS
+    block_bits: int = BLOCK_BITS
 
     def decisions(self, spark: SparkSession) -> DataFrame:
         return read_parts(spark, f"{self.root}/decisions", DECISION)
 
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = _state(batch.sparkSession, f"{self.root}/rings", RING_STATE, batch_id)
-        done = recent_ring(batch, self.block, before)
+        done = recent_ring(batch, self.block_bits, before)
         write_part(S.conform(done.rows, DECISION), f"{self.root}/decisions", batch_id)
         idle = before.join(done.rings.select("key"), "key", "left_anti")
         write_part(idle.unionByName(done.rings), f"{self.root}/rings", batch_id)
