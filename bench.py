@@ -34,7 +34,7 @@ HEADLINE = (
     "double_trigger",
     "double_chord",
     "recent_ring_throttle",
-    "capture_stream_table",
+    "capture_stream",
 )
 
 
@@ -74,9 +74,9 @@ def main() -> None:
         "sf": os.path.basename(sf_dir.rstrip("/")).removeprefix("sf"),
         "setup_sec": round(setup, 3),
     }
-    if "capture_stream_table" in seconds:
+    if "capture_stream" in seconds:
         rows = inputs.view(spark, sf_dir, ALL_CAPTURES).count()
-        result["capture_stream_rows_per_sec"] = round(rows / seconds["capture_stream_table"])
+        result["capture_stream_rows_per_sec"] = round(rows / seconds["capture_stream"])
     print(json.dumps(result))
 
 

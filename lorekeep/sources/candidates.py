@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import ArrayType
 
 from lorekeep import schemas as S
 from lorekeep.functions.text import WHITE_SPACE, lower_literal, utrim
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
-BAD_LINE = "_bad"
+FAIL_FAST = {"mode": "FAILFAST"}
 
 
 def read_json_array(spark: SparkSession, path: str) -> DataFrame:
@@ -20,22 +21,45 @@ def read_json_array(spark: SparkSession, path: str) -> DataFrame:
     One such file cannot be split, so it is read by one task; a large import belongs in many files or
     in JSON lines.
     """
-    reader = spark.read.schema(S.CANDIDATE).option("multiLine", True).option("mode", "FAILFAST")
-    return reader.json(path)
+    return spark.read.schema(S.CANDIDATE).options(multiLine=True, **FAIL_FAST).json(path)
+
+
+def read_json_array_with_nulls(spark: SparkSession, path: str) -> DataFrame:
+    """As :func:`read_json_array`, and a ``null`` element is an empty candidate instead of an error.
+
+    Each file is held as one value, so this is for files of ordinary size.
+    """
+    files = spark.read.text(path, wholetext=True)
+    elements = F.explode(F.from_json(F.col("value"), ArrayType(S.CANDIDATE), FAIL_FAST))
+    return files.select(elements.alias("item")).select("item.*")
 
 
 def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
-    """One JSON object per line; blank lines are skipped, a bad line fails the read."""
-    return spark.read.schema(S.CANDIDATE).option("mode", "FAILFAST").json(path)
+    """One JSON object per line.  Blank lines are skipped, a ``null`` line is an empty candidate, and a
+    bad line fails the read."""
+    line = utrim(F.col("value"))
+    item = F.when(line != "null", F.from_json(F.col("value"), S.CANDIDATE, FAIL_FAST))
+    return spark.read.text(path).where(line != "").select(item.alias("item")).select("item.*")
+
+
+def _starts_array(spark: SparkSession, path: str) -> bool:
+    line = utrim(F.col("value"))
+    first = spark.read.text(path).where(line != "").select(line.startswith("[")).first()
+    return first is not None and first[0]
+
+
+LAYOUTS: dict[str, Reader] = {
+    "array": read_json_array,
+    "array_with_nulls": read_json_array_with_nulls,
+    "jsonl": read_json_lines,
+}
 
 
 def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
-    """``layout`` is ``array``, ``jsonl`` or ``auto`` (an array when the first text is ``[``)."""
+    """``auto`` takes an array when the first text is ``[``, else JSON lines."""
     if layout == "auto":
-        lines = spark.read.text(path)
-        first = lines.where(utrim(F.col("value")) != "").select(F.left(utrim(F.col("value")), F.lit(1))).first()
-        layout = "array" if first is not None and first[0] == "[" else "jsonl"
-    return {"array": read_json_array, "jsonl": read_json_lines}[layout](spark, path)
+        layout = "array" if _starts_array(spark, path) else "jsonl"
+    return LAYOUTS[layout](spark, path)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:

@@ -86,8 +86,19 @@ from {events}
 """
 
 
+_tables: dict[tuple[str, str], DataFrame] = {}
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    """A given table; its schema is read once per application."""
+    key = (spark.sparkContext.applicationId, f"{sf_dir}/{name}.parquet")
+    if key not in _tables:
+        _tables[key] = spark.read.parquet(key[1])
+    return _tables[key]
+
+
 def view(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
-    tables = {t: spark.read.parquet(f"{sf_dir}/{t}.parquet") for t in TABLES if "{" + t + "}" in sql}
+    tables = {t: table(spark, sf_dir, t) for t in TABLES if "{" + t + "}" in sql}
     df = spark.sql(sql, **tables)
     if "tags_csv" in df.columns:
         df = df.withColumn("tags", F.split("tags_csv", ",")).drop("tags_csv")

@@ -556,7 +556,7 @@ def oracles() -> dict[str, str]:
         with_(INSIGHTS, asked, promoted("caps", "insights", "asked"), created("fresh", "promo", None, LATER_S))
         + f"select {TABLE_COLS} from fresh"
     )
-    found["capture_stream_table"] = found["insert_captures_table"]
+    found["capture_stream"] = found["insert_captures_table"]
     found["auto_analyze_promote"] = (
         with_(
             CAPS,
@@ -570,9 +570,9 @@ def oracles() -> dict[str, str]:
         + f"select {TABLE_COLS} from fresh"
     )
     found["import_json_array"] = found["import_jsonl"] = found["source_registry"]
-    found["double_trigger_streamed"] = found["double_trigger"]
+    found["double_trigger_stream"] = found["double_trigger"]
     found["recent_ring_throttle"] = ring(ALL_CAPTURES, "seq")
-    found["recent_ring_streamed"] = ring(
+    found["recent_ring_stream"] = ring(
         f"select 1 as load, * from ({caps}) union all select 2, * from ({src('MORE_CAPTURES')})", "load, seq"
     )
     return found

@@ -672,7 +672,7 @@ def _capture_loads(spark: SparkSession, sf_dir: str) -> list[DataFrame]:
 
 
 @query
-def capture_stream_table(spark, sf_dir):
+def capture_stream(spark, sf_dir):
     def run(rows: DataFrame, root: str) -> None:
         run_available(rows, CaptureSink(root), f"{root}/checkpoint").awaitTermination()
 
@@ -691,7 +691,7 @@ def auto_analyze_promote(spark, sf_dir):
 
 
 @query
-def double_trigger_streamed(spark, sf_dir):
+def double_trigger_stream(spark, sf_dir):
     rows = _events(spark, sf_dir)
     middle = 1_705_276_800_000_000
     loads = [rows.where(c("at_us") < middle), rows.where(c("at_us") >= middle)]
@@ -714,7 +714,7 @@ def recent_ring_throttle(spark, sf_dir):
 
 
 @query
-def recent_ring_streamed(spark, sf_dir):
+def recent_ring_stream(spark, sf_dir):
     loads = [_ring_rows(spark, sf_dir, sql) for sql in (I.CAPTURES, I.MORE_CAPTURES)]
 
     def run(rows: DataFrame, root: str) -> None:
