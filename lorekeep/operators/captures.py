@@ -9,7 +9,7 @@ from lorekeep.functions.keys import write_time
 from lorekeep.functions.tags import tags_ordered_distinct
 from lorekeep.functions.text import char_count, content_type, keyword, line_count, nz, utrim
 from lorekeep.operators.first_wins import WriteResult, new_rows, outcomes, resolve_keys
-from lorekeep.operators.search import CaptureFilter, has_keyword, page_bounds
+from lorekeep.operators.search import CaptureFilter, has_keyword, newest_first, page_ids
 from lorekeep.session import stage
 
 EMPTY = "empty"
@@ -120,12 +120,12 @@ def search_captures(captures: DataFrame, insights: DataFrame, f: CaptureFilter)
 
 
 def list_captures(captures: DataFrame, insights: DataFrame, f: CaptureFilter) -> DataFrame:
-    """One page, newest first.  The page is found on narrow rows; only its at most 100 ids, broadcast,
-    go back for the texts."""
-    limit, offset = page_bounds(f.limit, f.offset)
-    newest = [F.col("captured_at").desc(), F.col("id").desc()]
-    page = matching_captures(captures, insights, f).orderBy(*newest).offset(offset).limit(limit)
-    return _picked(captures, public_insight(insights), F.broadcast(page)).orderBy(*newest)
+    """One page, newest first.  The page is found on narrow rows; its at most 100 ids go into both scans
+    as a pushed-down filter."""
+    ids = page_ids(matching_captures(captures, insights, f), "captured_at", f.limit, f.offset)
+    told = public_insight(insights).where(F.col("capture_id").isin(ids))
+    rows = with_insight(captures.where(F.col("id").isin(ids)), told)
+    return newest_first(rows, "captured_at", f.limit, 0)
 
 
 def lookup_captures(captures: DataFrame, insights: DataFrame, ids: DataFrame) -> DataFrame:

@@ -133,10 +133,10 @@ def check_analysis(rows: DataFrame) -> DataFrame:
     return rows.withColumn("contract_error", F.coalesce(missing, unknown))
 
 
-def calls(answer: Callable[[pd.Series], str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+def calls(answer: Callable[[dict], str]) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
     """Turns a function of one capture into a ``mapInPandas`` function that reports each failure class."""
 
-    def one(row: pd.Series) -> tuple[str, str, str]:
+    def one(row: dict) -> tuple[str, str, str]:
         try:
             return "ok", "", answer(row)
         except MissingKey as e:
@@ -148,7 +148,7 @@ def calls(answer: Callable[[pd.Series], str]) -> Callable[[Iterator[pd.DataFrame
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            found = [one(row) for _, row in batch.iterrows()]
+            found = [one(row) for row in batch.to_dict("records")]
             yield pd.DataFrame(found, columns=["status", "error", "body"], index=batch.index).assign(id=batch["id"])[
                 ["id", "status", "error", "body"]
             ]
@@ -156,7 +156,7 @@ def calls(answer: Callable[[pd.Series], str]) -> Callable[[Iterator[pd.DataFrame
     return run
 
 
-def rule_answer(row: pd.Series) -> str:
+def rule_answer(row: dict) -> str:
     """A deterministic extractor without a model: the first line is the title, code is its own solution."""
     kind = row["content_type"]
     analysis = {
@@ -182,12 +182,14 @@ def analyze_captures(
     *,
     model: str = "",
     provider: str = "rules",
-    prompt: str = SYSTEM_PROMPT,
+    prompt: str | None = None,
     throttle_by: str | None = None,
     as_of=None,
 ) -> tuple[DataFrame, DataFrame]:
     """The new insight table, and ``(id, status, error)`` per capture.
 
+    The extractor gets ``id``, ``content``, ``content_type`` and ``captured_at``, and with a ``prompt``
+    also the ready ``request_json``.
     Status is ``cached`` where an insight exists, ``throttled`` where the recent ring of
     ``throttle_by`` refuses, else the result of the call: ``ok``, ``unavailable``, ``timeout``,
     ``error``, ``bad_envelope``, ``empty_output`` or ``bad_json``.  The answers are staged, so a lost
@@ -206,9 +208,9 @@ def analyze_captures(
             "id", F.lit("throttled").alias("status"), F.lit("").alias("error")
         )
         pending = pending.join(ring.where("accepted").select("id"), "id", "left_semi")
-    work = pending.select("id", "content", "content_type", "captured_at").withColumn(
-        "request_json", request_json(model, prompt)
-    )
+    work = pending.select("id", "content", "content_type", "captured_at")
+    if prompt is not None:
+        work = work.withColumn("request_json", request_json(model, prompt))
     answers = stage(work.mapInPandas(extractor, CALL_RESULT), "answers")
     parsed = parse_responses(answers.where(F.col("status") == "ok"))
     good = normalize_analysis(parsed.where(F.col("parse_error").isNull()))

@@ -28,10 +28,19 @@ def stored(spark):
 
 
 def test_page_is_a_top_k_without_shuffle(stored):
-    text = plan(Q.list_solutions(stored, Q.SolutionFilter(query="e", status="draft", limit=10, offset=5)))
+    matches = Q.filter_solutions(stored, Q.SolutionFilter(query="e", status="draft"))
+    text = plan(Q.newest_first(matches.select("id", "updated_at"), "updated_at", 10, 5))
     assert "TakeOrderedAndProject(limit=15, offset=5" in text
     assert "Exchange" not in text and "Python" not in text
     assert "EqualTo(status,draft)" in text
+    assert "raw_content" not in text
+
+
+def test_page_rows_are_read_by_id(spark, stored):
+    text = plan(Q.list_solutions(stored, Q.SolutionFilter(limit=5)))
+    assert "PushedFilters: [In(id, [" in text and "Exchange" not in text
+    text = plan(C.list_captures(captures(spark, SF), insights(spark, SF), Q.CaptureFilter(limit=5)))
+    assert "In(id, [" in text and "In(capture_id, [" in text
 
 
 def test_count_reads_only_the_searched_columns(stored):
@@ -64,6 +73,9 @@ def test_a_small_update_does_not_shuffle_the_stored_table(spark, stored):
     assert "BroadcastHashJoin" in text and "SortMergeJoin" not in text and "hashpartitioning" not in text
 
 
-def test_capture_page_moves_no_texts_for_the_search(spark):
-    text = plan(C.list_captures(captures(spark, SF), insights(spark, SF), Q.CaptureFilter(query="e")))
+def test_capture_search_shuffles_narrow_rows(spark):
+    text = plan(C.matching_captures(captures(spark, SF), insights(spark, SF), Q.CaptureFilter(query="e")))
     assert "CartesianProduct" not in text and "Python" not in text
+    for line in text.splitlines():
+        if "HashAggregate" in line:
+            assert "content" not in line and "summary" not in line

@@ -428,7 +428,7 @@ def oracles() -> dict[str, str]:
         + "select '' as asked, id from caps union all select ' TRUE ', id from caps where id in (select capture_id from insights) "
         "union all select 'no', id from caps where id not in (select capture_id from insights)",
         "lookup_solution_by_id": with_(STORED)
-        + f"select id, title, {join('tags')} as tags from stored where id in (select doc_id + 300 from labels)",
+        + f"select id, title, {join('tags')} as tags from stored where id in (select doc_id * 2 from labels)",
         "lookup_solution_by_key": with_(STORED, MORE_PLAIN)
         + "select id, dedup_key, raw_content_ref from stored where dedup_key in (select dedup_key from more)",
         "lookup_capture": with_(INSIGHTS)
@@ -513,7 +513,7 @@ def oracles() -> dict[str, str]:
         "from stored s left join (select page_id + 1 as id, 'New, NEW,,' || url as tags_csv from pages) t on t.id = s.id",
         "delete_solutions": with_(STORED)
         + f"select d.seq, case when s.id is not null and row_number() over (partition by d.id order by d.seq) = 1 "
-        f"then 'deleted' else 'not_found' end as outcome, d.id from ({I.sql_text(W.DELETES.replace('{', '{'))}) d left join stored s on s.id = d.id",
+        f"then 'deleted' else 'not_found' end as outcome, d.id from ({I.sql_text(W.DELETES)}) d left join stored s on s.id = d.id",
         "delete_solutions_table": with_(STORED)
         + f"select id, dedup_key from stored where id not in (select id from ({I.sql_text(W.DELETES)}))",
         "upsert_insights": with_(INSIGHTS)

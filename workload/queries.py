@@ -300,7 +300,7 @@ def filter_analyzed(spark, sf_dir):
 
 @query
 def lookup_solution_by_id(spark, sf_dir):
-    ids = I.view(spark, sf_dir, "select doc_id + 300 as id from {labels}")
+    ids = I.view(spark, sf_dir, "select doc_id * 2 as id from {labels}")
     return D.lookup_by_id(solutions(spark, sf_dir), ids).select("id", "title", csv("tags").alias("tags"))
 
 
@@ -524,8 +524,8 @@ def replace_tags(spark, sf_dir):
 
 
 DELETES = (
-    "select doc_id as seq, doc_id + 400 as id from {labels} "
-    "union all select page_id + 1000000000, page_id + 401 from {pages}"
+    "select doc_id * 2 as seq, doc_id * 2 as id from {labels} "
+    "union all select page_id * 2 + 1, page_id + 1 from {pages}"
 )
 
 
