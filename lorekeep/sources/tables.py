@@ -46,3 +46,14 @@ def read_parts(spark: SparkSession, path: str, schema: StructType, before: int |
     full = StructType(list(schema.fields)).add("batch_id", LongType())
     rows = spark.read.schema(full).parquet(path)
     return (rows if before is None else rows.where(F.col("batch_id") < before)).drop("batch_id")
+
+
+def compact_parts(spark: SparkSession, path: str, schema: StructType, target: str) -> int:
+    """Rewrites all parts as one part under ``target``, numbered as the last of them.
+
+    Many small batches leave many small files; a stopped stream goes on under ``target`` and its next
+    batch still follows the last one.
+    """
+    last = max(int(name.removeprefix("batch_id=")) for name in _list(spark, path) if name.startswith("batch_id="))
+    write_part(read_parts(spark, path, schema), target, last)
+    return last

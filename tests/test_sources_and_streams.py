@@ -68,6 +68,17 @@ def test_snapshots(spark, folder):
     assert tables.read_snapshot(spark, path, schema).count() == 5
 
 
+def test_parts_and_compaction(spark, folder):
+    path, schema = f"{folder}/p", spark.range(1).schema
+    assert tables.read_parts(spark, path, schema).count() == 0
+    for batch in (0, 1, 10, 10):
+        tables.write_part(spark.range(batch, batch + 2), path, batch)
+    ids = lambda root, before=None: sorted(r["id"] for r in tables.read_parts(spark, root, schema, before).collect())
+    assert ids(path) == [0, 1, 1, 2, 10, 11] and ids(path, 10) == [0, 1, 1, 2]
+    assert tables.compact_parts(spark, path, schema, f"{folder}/q") == 10
+    assert ids(f"{folder}/q", 11) == ids(path) and ids(f"{folder}/q", 10) == []
+
+
 def test_staging_folder_is_the_one_the_session_names(spark):
     named = spark.conf.get("spark.checkpoint.dir", None)
     assert staging_root(spark) == (named or spark.sparkContext.getCheckpointDir())
