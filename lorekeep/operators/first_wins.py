@@ -41,7 +41,8 @@ def attach_per_key(
 
     The largest keys travel as a broadcast of at most ``HOT_KEYS_MAX`` rows.  Their rows then shuffle
     under a key of their own (``seq``), so they spread evenly and match nothing; every other row meets
-    its key in the shuffle.  ``rows`` needs a unique ``seq``.
+    its key in the shuffle.  ``rows`` needs a unique ``seq``; ``per_key`` is read twice, so a costly one
+    should be staged.
     """
     hot_rows = HOT_KEY_ROWS if hot_rows is None else hot_rows
     values = [c for c in per_key.columns if c not in (key, size)]
@@ -71,14 +72,15 @@ def with_dense_rank(df: DataFrame, *order: str | Column, label: str = "ranked")
     """Adds ``rank`` = 0, 1, 2, ... in the given order.
 
     A range-partitioned sort numbers the rows inside each partition; the result is staged so that no
-    recomputation can move a row, and the partition offsets (one row per shuffle partition) are
-    broadcast.  No task sees more than its own range.
+    recomputation can move a row, and the partition offsets (one row per shuffle partition), staged too,
+    are broadcast.  No task sees more than its own range.
     """
     staged = stage(df.orderBy(*order).withColumn("_at", F.monotonically_increasing_id()), label)
     part = F.shiftright("_at", 33)
     counts = staged.groupBy(part.alias("_part")).agg(F.count(F.lit(1)).alias("_rows"))
     before = Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("_part", F.coalesce(F.sum("_rows").over(before), F.lit(0)).alias("_offset"))
+    offsets = stage(offsets, f"{label}-offsets")
     return (
         staged.withColumn("_part", part)
         .join(F.broadcast(offsets), "_part")

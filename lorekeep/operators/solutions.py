@@ -120,8 +120,9 @@ def update_solutions(stored: DataFrame, updates: DataFrame, as_of=None) -> Write
     # The stored holder may itself be updated to the key it already has; then it is the winner.
     first = live.select(F.col("seq").alias("first_seq"), F.col("id").alias("first_id"))
     wanted = wanted.join(first, "first_seq").select(
-        "new_key", "n", "first_seq", F.coalesce("holder_id", "first_id").alias("winner_id")
+        "new_key", "n", F.coalesce("holder_id", "first_id").alias("winner_id")
     )
+    wanted = stage(wanted, "update-winners")
     decided = attach_per_key(live, wanted, "new_key").select(
         "seq", "id", "updates", "new_key", (F.col("winner_id") == F.col("id")).alias("applied"), "winner_id"
     )
@@ -172,7 +173,7 @@ def replace_tags(stored: DataFrame, changes: DataFrame) -> DataFrame:
 def delete_solutions(stored: DataFrame, requests: DataFrame) -> WriteResult:
     """Deletes by ``id``; a second request for the same id finds nothing."""
     asked = requests.groupBy("id").agg(F.min("seq").alias("first_seq"), F.count(F.lit(1)).alias("n"))
-    hits = stored.select("id").join(asked, "id")
+    hits = stage(stored.select("id").join(asked, "id"), "delete-hits")
     report = attach_per_key(requests.select("seq", "id"), hits, "id").select(
         "seq",
         F.when(F.col("seq") == F.col("first_seq"), "deleted").otherwise("not_found").alias("outcome"),

@@ -28,6 +28,8 @@ from lorekeep.session import stage
 
 SYSTEM_PROMPT = "Describe the captured text as one JSON object that follows the given schema."
 ANSWER_NAME = "capture_analysis"
+# The lines that introduce a text in a request.
+CAPTURED_AT, CONTENT_TYPE, CONTENT = "Captured at: ", "\nContent type: ", "\nCaptured content:\n"
 CALL_RESULT = "id bigint, status string, error string, body string"
 
 
@@ -57,11 +59,11 @@ def request_json(model: str, prompt: str = SYSTEM_PROMPT) -> Column:
         return F.struct(F.lit(role).alias("role"), F.array(part).alias("content"))
 
     user = F.concat(
-        F.lit("Captured at: "),
+        F.lit(CAPTURED_AT),
         rfc3339(F.col("captured_at")),
-        F.lit("\nContent type: "),
+        F.lit(CONTENT_TYPE),
         F.col("content_type"),
-        F.lit("\nCaptured content:\n"),
+        F.lit(CONTENT),
         F.col("content"),
     )
     body = F.to_json(

@@ -10,6 +10,7 @@ from lorekeep.functions.tags import append_category
 from lorekeep.functions.text import fallback_title, first_non_blank, keep_raw_if_short
 from lorekeep.operators.first_wins import WriteResult, attach_per_key
 from lorekeep.operators.solutions import create_solutions
+from lorekeep.session import stage
 
 
 def promotion_requests(captures: DataFrame, insights: DataFrame, asked: DataFrame) -> DataFrame:
@@ -52,6 +53,7 @@ def promote_captures(
         .join(report.withColumnRenamed("seq", "first_seq"), "first_seq", "left")
         .select("id", "n", "first_seq", "known", "outcome", "solution_id")
     )
+    per_id = stage(per_id, "promotions")
     again = F.when(F.col("outcome") == "created", "duplicate").otherwise(F.col("outcome"))
     verdict = (
         F.when(F.col("known").isNull(), "not_found")

@@ -493,7 +493,7 @@ def oracles() -> dict[str, str]:
         + " order by c.captured_s desc, c.id desc limit 60 offset 7",
         "pager_info": with_(STORED)
         + ", t as (select count(*) as total, greatest(1, cast(ceil(count(*) / 40.0) as bigint)) as pages from stored) "
-        "select total, pages, least(7, pages) as page, (least(7, pages) - 1) * 40 as offset from t",
+        "select total, pages, least(7, pages) as page, (least(7, pages) - 1) * 40 as page_offset from t",
         "create_solutions": with_(STORED, MORE, created("fresh", "more", "stored", LATER_S)) + outcome("more", "fresh", "stored"),
         "create_solutions_table": with_(STORED, MORE, created("fresh", "more", "stored", LATER_S))
         + f"select {TABLE_COLS} from stored union all select {TABLE_COLS} from fresh",

@@ -486,7 +486,8 @@ def list_captures(spark, sf_dir):
 
 @query
 def pager_info(spark, sf_dir):
-    return Q.pager_info(Q.count_solutions(solutions(spark, sf_dir), Q.SolutionFilter()), page=7)
+    info = Q.pager_info(Q.count_solutions(solutions(spark, sf_dir), Q.SolutionFilter()), page=7)
+    return info.withColumnRenamed("offset", "page_offset")
 
 
 # --- table changes
