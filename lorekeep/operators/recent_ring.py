@@ -18,8 +18,9 @@ from dataclasses import dataclass
 import pandas as pd
 from pyspark.sql import DataFrame, Window, functions as F
 
+import lorekeep
 from lorekeep import schemas as S
-from lorekeep.session import stage
+from lorekeep.session import ship_package, stage
 
 BLOCK_BITS = 17
 
@@ -59,6 +60,7 @@ class RingResult:
 def recent_ring(rows: DataFrame, block_bits: int = BLOCK_BITS, given: DataFrame | None = None) -> RingResult:
     """Decides every row of ``rows(key, seq, hash)``; ``seq`` is unique and ``given(key, ring)`` are the
     rings to start from (empty by default)."""
+    ship_package(rows.sparkSession, lorekeep)
     seq_type = rows.schema["seq"].dataType.simpleString()
     narrow = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").orderBy("key", "seq")
     blocked = stage(

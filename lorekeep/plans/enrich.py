@@ -9,6 +9,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
 from pyspark.sql.types import StringType, StructType
 
+import lorekeep
 from lorekeep import schemas as S
 from lorekeep.functions.keys import content_hash
 from lorekeep.functions.tags import tags_ordered_distinct
@@ -24,7 +25,7 @@ from lorekeep.functions.text import (
 )
 from lorekeep.operators.captures import unanalyzed, upsert_insights
 from lorekeep.operators.recent_ring import recent_ring
-from lorekeep.session import stage
+from lorekeep.session import ship_package, stage
 
 SYSTEM_PROMPT = "Describe the captured text as one JSON object that follows the given schema."
 ANSWER_NAME = "capture_analysis"
@@ -197,6 +198,7 @@ def analyze_captures(
     ``error``, ``bad_envelope``, ``empty_output`` or ``bad_json``.  The answers are staged, so a lost
     executor or a later step never repeats a finished call.
     """
+    ship_package(captures.sparkSession, lorekeep)
     extractor = extractor or calls(rule_answer)
     # The ids are compared first, so the texts of captures with an insight never move.
     todo = stage(unanalyzed(captures.select("id"), insights), "pending")

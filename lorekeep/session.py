@@ -4,6 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+import zipfile
+from pathlib import Path
+from types import ModuleType
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -49,3 +52,23 @@ def stage(df: DataFrame, label: str) -> DataFrame:
     path = f"{staging_root(spark)}/{label}-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
+
+
+_shipped: set[tuple[str, str]] = set()
+
+
+def ship_package(spark: SparkSession, package: ModuleType) -> None:
+    """Sends a package's source to the Python workers of the application, once.
+
+    Functions of a package are found by name in the workers, which need not have it installed.
+    """
+    context = spark.sparkContext
+    if (context.applicationId, package.__name__) in _shipped:
+        return
+    root = Path(package.__file__).parent
+    archive = Path(tempfile.mkdtemp(prefix="ship-")) / f"{package.__name__}.zip"
+    with zipfile.ZipFile(archive, "w") as z:
+        for source in sorted(root.rglob("*.py")):
+            z.write(source, source.relative_to(root.parent))
+    context.addPyFile(str(archive))
+    _shipped.add((context.applicationId, package.__name__))

@@ -13,10 +13,12 @@ from lorekeep.operators import captures as C, events as E, search as Q, solution
 from lorekeep.operators.first_wins import first_per_key
 from lorekeep.operators.recent_ring import recent_ring
 from lorekeep.plans import enrich, importing, promote
+from lorekeep.session import ship_package
 from lorekeep.sources import candidates as src, tables
 from lorekeep.streaming.captures import CaptureSink
 from lorekeep.streaming.events import DoubleTriggerSink, RecentRingSink
 from lorekeep.streaming.runner import run_available
+import workload
 from workload import inputs as I
 from workload.base import (
     AS_OF,
@@ -628,6 +630,7 @@ def failing_answer(row) -> str:
 
 @query
 def analysis_outcomes(spark, sf_dir):
+    ship_package(spark, workload)
     _, report = enrich.analyze_captures(
         captures(spark, sf_dir), insights(spark, sf_dir), enrich.calls(failing_answer), as_of=LATER
     )
