@@ -40,11 +40,11 @@ def as_bytes(column: pa.Array) -> list[bytes]:
     return [v or b"" for v in column.cast(kind).to_pylist()]
 
 
-def slices(batches: Iterator[pa.RecordBatch], column: str) -> Iterator[pa.RecordBatch]:
-    """Cuts batches so that each holds about ``BATCH_BYTES`` of ``column``, one row at least."""
+def slices(batches: Iterator[pa.RecordBatch], column: str, size: int = BATCH_BYTES) -> Iterator[pa.RecordBatch]:
+    """Cuts batches so that each holds about ``size`` bytes of ``column``, one row at least."""
     for batch in batches:
         sizes = np.array([len(v) for v in as_bytes(batch.column(column))], np.int64)
-        part = np.cumsum(sizes) // BATCH_BYTES
+        part = np.cumsum(sizes) // size
         cuts = [0, *(np.flatnonzero(np.diff(part)) + 1).tolist(), len(sizes)]
         for a, b in zip(cuts, cuts[1:]):
             if b > a:

@@ -7,8 +7,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm.simhash import op9_simhash
+from lorekeep.llm.substrings import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_suffix_dedup": op2_suffix_dedup,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
