@@ -7,12 +7,14 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from lorekeep.llm.language import op3_language_id
+from lorekeep.llm.minhash import op7_minhash
 from lorekeep.llm.simhash import op9_simhash
 from lorekeep.llm.substrings import op2_suffix_dedup
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op7_minhash": op7_minhash,
     "op9_simhash": op9_simhash,
 }
 ORACLES: dict[str, str] = {}
