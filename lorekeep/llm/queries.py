@@ -10,11 +10,18 @@ from lorekeep.llm.language import op3_language_id
 from lorekeep.llm.minhash import op7_minhash
 from lorekeep.llm.simhash import op9_simhash
 from lorekeep.llm.substrings import op2_suffix_dedup
+from lorekeep.llm.urls import op4_url_filter, oracle as url_oracle
+from lorekeep.llm.warc import ORACLE as WARC_ORACLE, op1_warc
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_warc": op1_warc,
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
+    "op4_url_filter": op4_url_filter,
     "op7_minhash": op7_minhash,
     "op9_simhash": op9_simhash,
 }
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {
+    "op1_warc": WARC_ORACLE,
+    "op4_url_filter": url_oracle(),
+}
