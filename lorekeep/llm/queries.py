@@ -6,6 +6,8 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from lorekeep.llm.chat import ORACLE as CHAT_ORACLE, op8_chat_tree
+from lorekeep.llm.embeddings import op10_cover_tree
 from lorekeep.llm.language import op3_language_id
 from lorekeep.llm.minhash import op7_minhash
 from lorekeep.llm.simhash import op9_simhash
@@ -19,9 +21,12 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
     "op7_minhash": op7_minhash,
+    "op8_chat_tree": op8_chat_tree,
     "op9_simhash": op9_simhash,
+    "op10_cover_tree": op10_cover_tree,
 }
 ORACLES: dict[str, str] = {
     "op1_warc": WARC_ORACLE,
     "op4_url_filter": url_oracle(),
+    "op8_chat_tree": CHAT_ORACLE,
 }
