@@ -10,6 +10,8 @@ from lorekeep.llm.chat import ORACLE as CHAT_ORACLE, op8_chat_tree
 from lorekeep.llm.embeddings import op10_cover_tree
 from lorekeep.llm.language import op3_language_id
 from lorekeep.llm.minhash import op7_minhash
+from lorekeep.llm.mixing import op6_mixing
+from lorekeep.llm.packing import op5_packing
 from lorekeep.llm.simhash import op9_simhash
 from lorekeep.llm.substrings import op2_suffix_dedup
 from lorekeep.llm.urls import op4_url_filter, oracle as url_oracle
@@ -20,6 +22,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_suffix_dedup": op2_suffix_dedup,
     "op3_language_id": op3_language_id,
     "op4_url_filter": op4_url_filter,
+    "op5_packing": op5_packing,
+    "op6_mixing": op6_mixing,
     "op7_minhash": op7_minhash,
     "op8_chat_tree": op8_chat_tree,
     "op9_simhash": op9_simhash,

@@ -215,7 +215,10 @@ def fingerprint_links(prints: DataFrame, radius: int = RADIUS, blocks: int | Non
 
 
 def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``(doc_id, k2, fp, component_id)``, one row for each row of ``docs``; ``k2`` is the row's text hash."""
+    """``(doc_id, k2, fp, root, component_id)``, one row for each row of ``docs``.
+
+    ``k2`` is the row's text hash.  ``root`` names the component by a fingerprint, also where ids repeat or are null.
+    """
     narrow = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), F.hash("text").alias("k2"), "text")
     prints = stage(with_fingerprint(narrow).withColumn("seq", F.monotonically_increasing_id()), "fingerprints")
     groups = stage(
@@ -226,7 +229,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
         "fp", "rep", "n", F.coalesce("root", "fp").alias("root")
     )
     names = rooted.groupBy("root").agg(F.min("rep").alias("component_id"))
-    named = stage(rooted.join(names, "root").select("fp", "n", "component_id"), "fingerprint-components")
+    named = stage(rooted.join(names, "root").select("fp", "n", "root", "component_id"), "fingerprint-components")
     return attach_per_key(prints, named, "fp").drop("seq")
 
 
