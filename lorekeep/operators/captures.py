@@ -8,7 +8,7 @@ from lorekeep import schemas as S
 from lorekeep.functions.keys import write_time
 from lorekeep.functions.tags import tags_ordered_distinct
 from lorekeep.functions.text import char_count, content_type, keyword, line_count, nz, utrim
-from lorekeep.operators.first_wins import WriteResult, new_rows, outcomes, resolve_keys
+from lorekeep.operators.first_wins import WriteResult, attach_per_key, new_rows, outcomes, resolve_keys
 from lorekeep.operators.search import CaptureFilter, has_keyword, newest_first, page_ids
 from lorekeep.session import stage
 
@@ -68,8 +68,14 @@ def captured_rows(rows: DataFrame, resolved: DataFrame, as_of=None) -> DataFrame
 
 
 def with_capture_time(report: DataFrame, captures: DataFrame) -> DataFrame:
-    """Adds the stored capture time to an outcome report."""
-    return report.join(captures.select("id", "captured_at"), "id", "left")
+    """Adds the stored capture time to an outcome report.
+
+    Many rows of a report may share one id, and all rejected rows the null one: ids meet their time per key.
+    """
+    report = stage(report, "report")
+    uses = report.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    times = stage(captures.select("id", "captured_at").join(uses, "id"), "capture-times")
+    return attach_per_key(report, times, "id")
 
 
 def public_insight(insights: DataFrame) -> DataFrame:

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from dataclasses import dataclass
 from functools import reduce
 
@@ -39,10 +40,7 @@ def page_bounds(limit: object = 0, offset: object = 0) -> tuple[int, int]:
     """A limit outside 1..100 becomes 20 and a negative offset 0; text that is no number counts as 0."""
 
     def number(value: object) -> int:
-        try:
-            return int(value)
-        except (TypeError, ValueError):
-            return 0
+        return int(str(value)) if re.fullmatch(r"[+-]?[0-9]+", str(value), re.ASCII) else 0
 
     size, start = number(limit), number(offset)
     return (size if 0 < size <= S.PAGE_SIZE_MAX else S.PAGE_SIZE_DEFAULT), max(start, 0)

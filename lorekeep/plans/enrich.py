@@ -7,7 +7,7 @@ from collections.abc import Callable, Iterator
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import StringType, StructType
+from pyspark.sql.types import ArrayType, StringType, StructType, VariantType
 
 import lorekeep
 from lorekeep import schemas as S
@@ -94,7 +94,29 @@ def _checked(schema: StructType) -> StructType:
 
 
 def _parse(text: Column, schema: StructType) -> Column:
-    return F.from_json(text, _checked(schema), {"columnNameOfCorruptRecord": "_corrupt"})
+    """The one value of ``text``; null if there are more, or text beside it."""
+    alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), ArrayType(VariantType()))
+    value = F.from_json(text, _checked(schema), {"columnNameOfCorruptRecord": "_corrupt"})
+    return F.when(F.size(alone) == 1, value)
+
+
+def _kinds_hold(text: Column) -> Column:
+    """Whether texts, the number and the tags of an answer have these kinds (or are null or missing)."""
+    whole = F.try_parse_json(text)
+    held = F.lit(True)
+    for f in S.ANALYSIS.fields:
+        raw = F.to_json(F.try_variant_get(whole, f"$.{f.name}", "variant"))
+        if f.dataType == StringType():
+            fits = raw.startswith('"')
+        elif isinstance(f.dataType, ArrayType):
+            fits = raw.startswith("[") & F.forall(
+                F.coalesce(F.try_variant_get(whole, f"$.{f.name}", "array<variant>"), F.array()),
+                lambda v: F.coalesce(F.to_json(v).rlike('^("|null$)'), F.lit(True)),
+            )
+        else:
+            fits = raw.rlike(r"^-?[0-9]")
+        held &= F.coalesce(fits | (raw == "null"), F.lit(True))
+    return held
 
 
 def parse_responses(rows: DataFrame, body: str = "body") -> DataFrame:
@@ -103,7 +125,7 @@ def parse_responses(rows: DataFrame, body: str = "body") -> DataFrame:
     error = (
         F.when(envelope.isNull() | envelope["_corrupt"].isNotNull(), "bad_envelope")
         .when(is_blank(F.col("_text")), "empty_output")
-        .when(answer.isNull() | answer["_corrupt"].isNotNull(), "bad_json")
+        .when(answer.isNull() | answer["_corrupt"].isNotNull() | ~_kinds_hold(F.col("_text")), "bad_json")
     )
     return (
         rows.withColumn("_envelope", _parse(F.col(body), S.ENVELOPE))

@@ -32,11 +32,14 @@ def build_session(name: str = "lorekeep", master: str | None = None, **conf: str
 def staging_root(spark: SparkSession) -> str:
     """The shared folder named by ``spark.checkpoint.dir``.
 
-    Only a session that names none and has no checkpoint folder (a test on one machine) gets a
-    folder of its own.
+    Only a local session that names none and has no checkpoint folder gets a folder of its own; on a
+    cluster, whose executors could not see it, that is an error.
     """
     root = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not root:
+        master = spark.sparkContext.master
+        if not (master == "local" or master.startswith("local[")):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that the driver and all executors share")
         spark.sparkContext.setCheckpointDir(tempfile.mkdtemp(prefix="lorekeep-"))
         root = spark.sparkContext.getCheckpointDir()
     return root

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable
+from urllib.parse import unquote
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
@@ -38,14 +39,26 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line.  Blank lines are skipped, a ``null`` line is an empty candidate, and a
     bad line fails the read."""
     line = utrim(F.col("value"))
-    item = F.when(line != "null", F.from_json(F.col("value"), S.CANDIDATE, FAIL_FAST))
+    # inside brackets a second value or trailing text is an error, or makes the array longer than one
+    values = F.from_json(F.concat(F.lit("["), line, F.lit("]")), ArrayType(S.CANDIDATE), FAIL_FAST)
+    several = F.raise_error(F.lit("a line of a JSON lines file holds more than one value"))
+    item = F.when(F.size(values) == 1, values[0]).otherwise(several.cast(S.CANDIDATE))
     return spark.read.text(path).where(line != "").select(item.alias("item")).select("item.*")
 
 
-def _starts_array(spark: SparkSession, path: str) -> bool:
+def _layouts(spark: SparkSession, path: str) -> dict[bool, list[str]]:
+    """The files of ``path`` with text in them, by whether their first text is ``[``.
+
+    Each file is judged by itself, on its first line that is not blank; only file names reach the driver.
+    """
     line = utrim(F.col("value"))
-    first = spark.read.text(path).where(line != "").select(line.startswith("[")).first()
-    return first is not None and first[0]
+    at = F.struct("_metadata.file_block_start", F.monotonically_increasing_id().alias("row"))
+    lines = spark.read.text(path).select(F.col("_metadata.file_path").alias("file"), at.alias("at"), line.alias("line"))
+    first = lines.where("line <> ''").groupBy("file").agg(F.min_by(F.col("line").startswith("["), "at").alias("array"))
+    found: dict[bool, list[str]] = {True: [], False: []}
+    for row in first.orderBy("file").collect():
+        found[row["array"]].append(unquote(row["file"]))
+    return found
 
 
 LAYOUTS: dict[str, Reader] = {
@@ -56,10 +69,14 @@ LAYOUTS: dict[str, Reader] = {
 
 
 def read_json(spark: SparkSession, path: str, layout: str = "auto") -> DataFrame:
-    """``auto`` takes an array when the first text is ``[``, else JSON lines."""
-    if layout == "auto":
-        layout = "array" if _starts_array(spark, path) else "jsonl"
-    return LAYOUTS[layout](spark, path)
+    """``auto`` takes each file as an array when its first text is ``[``, else as JSON lines."""
+    if layout != "auto":
+        return LAYOUTS[layout](spark, path)
+    files = _layouts(spark, path)
+    if not (files[True] and files[False]):
+        return LAYOUTS["array" if files[True] else "jsonl"](spark, path)
+    arrays, lines = read_json_array(spark, files[True]), read_json_lines(spark, files[False])
+    return arrays.unionByName(lines)
 
 
 def read_parquet(spark: SparkSession, path: str) -> DataFrame:
@@ -82,10 +99,10 @@ class SourceRegistry:
     def read(self, spark: SparkSession, name: str, path: str) -> DataFrame:
         reader = self._readers.get(self.canonical(name))
         if reader is None:
-            raise ValueError(f"unsupported adapter: {name}")
+            raise ValueError(f"no import source is registered under the name {name!r}")
         path = path.strip(WHITE_SPACE)
         if not path:
-            raise ValueError("path is required")
+            raise ValueError("the import path is blank")
         return S.fill_defaults(S.conform(reader(spark, path), S.CANDIDATE))
 
 

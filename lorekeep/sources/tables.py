@@ -31,12 +31,17 @@ def write_snapshot(df: DataFrame, path: str, version: int | None = None) -> int:
     """Writes the next version (or, for a replay, the given one) and returns its number."""
     if version is None:
         version = max(complete_versions(df.sparkSession, path), default=0) + 1
-    df.write.mode("overwrite").parquet(f"{path}/v={version}")
+    in_id_order(df).write.mode("overwrite").parquet(f"{path}/v={version}")
     return version
 
 
+def in_id_order(df: DataFrame) -> DataFrame:
+    """Rows with an ``id`` in disjoint id ranges, so that a page's ids skip the other files."""
+    return df.repartitionByRange("id").sortWithinPartitions("id") if "id" in df.columns else df
+
+
 def write_part(df: DataFrame, path: str, batch_id: int) -> None:
-    df.write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    in_id_order(df).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_parts(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:

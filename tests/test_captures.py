@@ -98,6 +98,25 @@ def test_response_parsing(spark):
     assert (got[5]["title"], got[5]["confidence"], got[5]["tags"]) == ("", 0.0, [])
 
 
+def test_answers_with_more_than_one_value_or_other_kinds_are_rejected(spark):
+    envelope = lambda text: json.dumps({"output": [{"content": [{"type": "output_text", "text": text}]}]})
+    bad = [
+        '{"title":"x"} junk', '{"title":"x"} {"title":"y"}', '{"title":"x"},{"title":"y"}', '{"title":5}', '{"tags":"t"}',
+        '{"tags":["t",5]}', '{"confidence":"high"}', '{"title":{"a":1}}',
+    ]
+    good = ['{"title":"x"}', ' {"title":null,"tags":null,"confidence":null}\n', '{"tags":["a",null],"confidence":-0.5,"other":[1]}']
+    got = parsed(spark, *map(envelope, bad + good), envelope('{"title":"x"}') + "<html>")
+    kinds = [got[i]["parse_error"] for i in range(len(bad) + len(good) + 1)]
+    assert kinds == ["bad_json"] * len(bad) + [None] * len(good) + ["bad_envelope"]
+
+
+def test_report_of_one_hot_id_and_rejects_gets_its_time(spark):
+    done = inserted(spark, ["same"] * 50 + [" "] * 50 + ["other"])
+    report = C.with_capture_time(done.outcomes, done.table).collect()
+    assert len(report) == 101
+    assert all((r["captured_at"] is None) == (r["id"] is None) for r in report)
+
+
 def test_request_is_json_with_the_whole_text(spark):
     text = 'say "hi"\n\tÉ😀\\ ' + "x" * 9000 + "."
     table = inserted(spark, [text]).table

@@ -95,8 +95,8 @@ def test_dense_rank_over_many_partitions(spark):
 
 
 CANDIDATES = [
-    ("Review template", "causes get lost", "Ask for five fixed parts.", "chat", "export", "c-1", "raw://1", ["review", "analysis"], None),
-    ("Samples before SQL", "wrong meaning", "Agree on two result rows first.", "chat", "export", "c-2", "raw://2", ["sql"], "confirmed_success"),
+    ("Descale the kettle", "slow to boil", "Vinegar and water, one hour.", "note", "kitchen", "n-7", "raw://7", ["kettle", "lime"], None),
+    ("Quiet hinge", "door squeaks", "A drop of oil on the pin.", "note", "hall", "n-8", "raw://8", ["door"], "confirmed_success"),
 ]
 
 
@@ -109,7 +109,7 @@ def test_import_of_two_candidates_and_again(spark, folder):
     rows = sorted(done.created.collect(), key=lambda r: r["id"])
     assert [r["status"] for r in rows] == ["probable_success", "confirmed_success"]
     assert {r["efficacy_source"] for r in rows} == {"auto"}
-    assert rows[0]["tags"] == ["analysis", "auto", "imported", "review"]
+    assert rows[0]["tags"] == ["auto", "imported", "kettle", "lime"]
     again = importing.import_path(spark, path, done.table, **defaults)
     assert tuple(again.summary.first()) == (0, 2, 0)
     assert again.created.count() == 0

@@ -1,5 +1,8 @@
 from __future__ import annotations
 
+import json
+from pathlib import Path
+
 import pytest
 from pyspark.sql import functions as F
 
@@ -48,9 +51,9 @@ def test_empty_file(spark, folder):
 
 
 def test_registry_errors(spark):
-    with pytest.raises(ValueError, match="unsupported adapter: nope"):
+    with pytest.raises(ValueError, match="no import source .* 'nope'"):
         src.DEFAULT_SOURCES.read(spark, "nope", "x")
-    with pytest.raises(ValueError, match="path is required"):
+    with pytest.raises(ValueError, match="path is blank"):
         src.DEFAULT_SOURCES.read(spark, "local_json", " \t")
     own = src.SourceRegistry()
     own.register(" Mine", lambda s, p: s.createDataFrame([("x",)], "title string"))
@@ -115,3 +118,29 @@ def test_conform_and_defaults(spark):
     assert df.columns == S.CANDIDATE.names
     assert df.select("title", "tags").first() == ("", [])
     assert df.select(F.count_if(F.col("status").isNull())).first()[0] == 0
+
+
+def test_each_file_has_its_own_layout(spark, folder):
+    (Path(folder) / "mixed dir").mkdir()
+    item = lambda name: json.dumps({"title": name})
+    for size in (1, 200):  # whichever file Spark takes first
+        (Path(folder) / "mixed dir/a.json").write_text("\n [" + ",".join(item(f"a{k}") for k in range(5 * size)) + "]")
+        (Path(folder) / "mixed dir/b.jsonl").write_text("\n".join(item(f"b{k}") for k in range(300)))
+        (Path(folder) / "mixed dir/c.jsonl").write_text(" \n")
+        got = [r["title"] for r in src.read_json(spark, f"{folder}/mixed dir").collect()]
+        assert sorted(got) == sorted([f"a{k}" for k in range(5 * size)] + [f"b{k}" for k in range(300)])
+
+
+@pytest.mark.parametrize("line", ['{"title":"a"} {"title":"b"}', '{"title":"c"} junk', '{"title":"d"},{"title":"e"}', '{"title":'])
+def test_a_line_holds_one_value(spark, folder, line):
+    (Path(folder) / "x.jsonl").write_text('{"title":"ok"}\n' + line + "\n")
+    with pytest.raises(Exception):
+        src.read_json(spark, folder).collect()
+
+
+def test_snapshots_keep_ids_in_disjoint_files(spark, folder):
+    rows = spark.range(0, 1000).repartition(4).withColumn("text", F.lit("x"))
+    tables.write_snapshot(rows, folder)
+    spans = spark.read.parquet(f"{folder}/v=1").groupBy("_metadata.file_name").agg(F.min("id"), F.max("id")).collect()
+    spans = sorted(tuple(r)[1:] for r in spans)
+    assert sum(b - a + 1 for a, b in spans) == 1000 and all(a[1] < b[0] for a, b in zip(spans, spans[1:]))
