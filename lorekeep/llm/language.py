@@ -25,8 +25,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lorekeep.llm.common import as_bytes, read, slices, use_python
 
-FEATURES = 4096
-SAMPLE_ROWS = 3000
+FEATURES = 2048
+SAMPLE_ROWS = 2000
 MAX_LANGUAGES = 64
 RIDGE = 0.3
 AMBIGUOUS = 0.02
