@@ -11,7 +11,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 import lorekeep
 from lorekeep.session import ship_package
 
-BATCH_BYTES = 8 << 20
+BATCH_BYTES = 4 << 20
 """Texts handed to Python at once; bounds a worker's memory when documents are long."""
 NO_ID = -(1 << 63)
 

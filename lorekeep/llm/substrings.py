@@ -35,7 +35,7 @@ from lorekeep.session import stage
 
 WINDOW = 400
 GRAM = 128
-SHARD_BYTES = 2 << 20
+SHARD_BYTES = 1 << 20
 PIECE = 1 << 20
 """Window starts handled at once inside one long text."""
 
@@ -147,18 +147,27 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.flatnonzero(edges == 1), np.flatnonzero(edges == -1) - 1
 
 
-_MARKS = "mini bigint, part int, window binary, k1 bigint, k2 int, a int, b int"
+_MARKS = (
+    "k1 bigint, k2 int, a int, b int, mini bigint, range int, "
+    "windows array<binary>, k1s array<bigint>, k2s array<int>, places array<int>"
+)
+_KINDS = [
+    pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(),
+    pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()),
+]
 
 
-def _marks(mini, part, window, k1, k2, a, b) -> pa.Table:
-    kinds = [pa.int64(), pa.int32(), pa.binary(), pa.int64(), pa.int32(), pa.int32(), pa.int32()]
+def _marks(*columns) -> pa.Table:
+    """Missing trailing columns are null."""
     names = [x.split()[0] for x in _MARKS.split(", ")]
-    return pa.table([pa.array(v, k) for v, k in zip((mini, part, window, k1, k2, a, b), kinds)], names=names)
+    rows = len(columns[0])
+    full = [*columns, *[[None] * rows] * (len(names) - len(columns))]
+    return pa.table([pa.array(v, k) for v, k in zip(full, _KINDS)], names=names)
 
 
 def _shard_marks(window: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
-        """Repeated starts of the shard as runs; of a dealt group also a digest for each distinct window."""
+        """Repeated starts of the shard as runs; of a dealt group also the sorted digests of its distinct windows."""
         part = key[1].as_py()
         mini, digest = rows.column("mini").to_numpy(), rows.column("dig").to_numpy()
         by = np.lexsort((digest, mini))
@@ -181,8 +190,7 @@ def _shard_marks(window: int):
         owner = shard.owner[first]
         k1, k2 = rows.column("k1").to_numpy(), rows.column("k2").to_numpy()
         start = rows.column("start").to_numpy() - shard.first
-        none = [None] * len(first)
-        marks = _marks(none, none, none, k1[owner], k2[owner], first + start[owner], last + start[owner])
+        marks = _marks(k1[owner], k2[owner], first + start[owner], last + start[owner])
         if part < 0:
             return marks
         heads = order[~joined]
@@ -192,22 +200,32 @@ def _shard_marks(window: int):
         digests = [
             xxhash.xxh3_128_digest(segment[o][x : x + window]) for o, x in zip(owner.tolist(), offset.tolist())
         ]
+        # one row for each range of digests that the group's shards exchange
+        digests = np.array(digests, "S16")
+        into = np.array([int.from_bytes(d[:4], "little") for d in digests.tolist()]) % rows.column("parts")[0].as_py()
         at = np.where(single, heads + start[owner], -1)
-        minis = rows.column("mini").to_numpy()[owner]
-        return pa.concat_tables(
-            [marks, _marks(minis, np.full(len(heads), part), digests, k1[owner], k2[owner], at, at)]
-        )
+        runs = []
+        for k in np.unique(into).tolist():
+            own = np.flatnonzero(into == k)
+            own = own[np.argsort(digests[own])]
+            windows = [d.ljust(16, b"\0") for d in digests[own].tolist()]
+            runs.append((key[0].as_py(), k, windows, k1[owner[own]], k2[owner[own]], at[own]))
+        none = [None] * len(runs)
+        return pa.concat_tables([marks, _marks(none, none, none, none, *zip(*runs))])
 
     return run
 
 
 def _merge(key: tuple, rows: pa.Table) -> pa.Table:
     """Starts whose window another shard of the group holds: binary search in the merged sorted digests."""
-    digests = np.array(rows.column("window").to_pylist(), "S16")
+    flat = {c: rows.column(c).combine_chunks().flatten() for c in ("windows", "k1s", "k2s", "places")}
+    digests = np.array(flat["windows"].to_pylist(), "S16")
     merged = np.sort(digests)
     found = np.searchsorted(merged, digests, "right") - np.searchsorted(merged, digests, "left") > 1
-    hit = rows.filter(pa.array(found & (rows.column("a").to_numpy() >= 0)))
-    return hit.select(["k1", "k2", "a", "b"])
+    place = flat["places"].to_numpy()
+    hit = np.flatnonzero(found & (place >= 0))
+    at = pa.array(place[hit])
+    return pa.table({"k1": flat["k1s"].take(pa.array(hit)), "k2": flat["k2s"].take(pa.array(hit)), "a": at, "b": at})
 
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
@@ -222,6 +240,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
         "segments",
     )
     several = found.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini")
+    several = stage(several, "repeated-grams")  # a join with shuffles of its own lets Spark split frequent ones
     found = stage(found.join(several, "mini"), "shared-segments")
     place = F.min(F.struct("k1", "k2", "start", "starts")).alias("o")
     distinct = stage(found.groupBy("mini", "dig").agg(F.count(F.lit(1)).alias("n"), place), "distinct-segments")
@@ -255,11 +274,9 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
         }
     )
     marks = stage(parts.groupBy("shard", "part").applyInArrow(_shard_marks(window), _MARKS), "suffix-marks")
-    inside = marks.where("window is null").select("k1", "k2", "a", "b")
-    dealt_groups = groups.where("parts > 1").select("mini", "parts")
-    windows = marks.where("window is not null").join(dealt_groups, "mini")
-    windows = windows.withColumn("range", F.pmod(F.xxhash64("window"), "parts"))
-    across = windows.groupBy("mini", "range").applyInArrow(_merge, "k1 bigint, k2 int, a int, b int")
+    inside = marks.where("windows is null").select("k1", "k2", "a", "b")
+    dealt_runs = marks.where("windows is not null").select("mini", "range", "windows", "k1s", "k2s", "places")
+    across = dealt_runs.groupBy("mini", "range").applyInArrow(_merge, "k1 bigint, k2 int, a int, b int")
     runs = whole.union(inside).union(across).distinct()
     return runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
