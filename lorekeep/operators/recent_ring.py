@@ -1,28 +1,33 @@
-"""Throttle by a small ring of recently accepted hashes, exact and in parallel.
+"""Throttle by a small ring of recently accepted hashes, exact and in a fixed number of jobs.
 
 Rule: a row is rejected when its hash is among the last three accepted hashes of its key.  A rejected
 row changes nothing; an accepted one is pushed at the front and the ring is cut to three.
 
 The rule is sequential per key, so the rows, sorted by key and ``seq`` over all tasks, are cut into blocks
-of at most ``2 ** block_bits`` rows, however large a key is.  All blocks run at once from a guessed
-starting ring; each round a block whose guess differs from the end of the block before it runs again.  When no guess is
-wrong, the result equals the sequential one.  A ring forgets its past after three accepted rows, so
-two or three rounds do on mixed data; in the worst case the rounds are the blocks of the largest key.
+of at most ``2 ** block_bits`` rows, however large a key is.  Only the first key of a block can go on from
+the block before.  What the block does to that key's ring is a small tree of cases: each of the three unknown hashes is
+either met by a row or pushed out, which leaves at most 37 ends.  One pass yields the trees, one
+pass over one row per key and block follows them, and one pass decides the rows.
+
+A null key is a key of its own, and a null hash a hash of its own.
 """
 
 from __future__ import annotations
 
-from collections.abc import Iterable
+import json
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window, functions as F
+from pyspark.sql import DataFrame, functions as F
 
 import lorekeep
 from lorekeep import schemas as S
 from lorekeep.session import ship_package, stage
 
 BLOCK_BITS = 17
+_CASES = "key string, _block bigint, _given array<string>, _cases string"
+_STATES = "key string, _block bigint, _start array<string>, _end array<string>"
 
 
 def push(ring: list[str], item: str, size: int = S.RECENT_RING_SIZE) -> tuple[bool, list[str]]:
@@ -38,15 +43,95 @@ def run_ring(ring: Iterable[str], items: Iterable[str]) -> tuple[list[bool], lis
     return flags, state
 
 
-def _end_state(group: pd.DataFrame) -> pd.DataFrame:
-    _, state = run_ring(group["_start"].iloc[0], group.sort_values("seq")["hash"])
-    return group[["key", "_block"]].head(1).assign(_end=[state])
-
-
-def _flags(group: pd.DataFrame) -> pd.DataFrame:
-    group = group.sort_values("seq")
-    flags, _ = run_ring(group["_start"].iloc[0], group["hash"])
-    return group[["key", "seq", "hash"]].assign(accepted=flags)
+def case_tree(items: list[str], size: int = S.RECENT_RING_SIZE) -> dict | list:
+    """The ring after ``items`` for any ring before them.
+
+    A node ``{item, met, else}`` asks which hash of the first ring, by its place, equals ``item``.  A leaf is the ring
+    at the end, in which a number stands for the hash at that place of the first ring.
+    """
+    items = [x for k, x in enumerate(items) if k == 0 or x != items[k - 1]]  # a repeat of the row before is rejected
+    known: list[tuple[int, tuple, list]] = []
+
+    def grow(at: int, ring: tuple) -> dict | list:
+        places = [x for x in ring if isinstance(x, int)]
+        while places and at < len(items) and items[at] in ring:
+            at += 1
+        if not places or at == len(items):
+            leaf = list(ring)
+            known.append((at, ring, leaf))
+            return leaf
+        item = items[at]
+        met = {str(p): grow(at + 1, tuple(item if x == p else x for x in ring)) for p in places}
+        return {"item": item, "met": met, "else": grow(at + 1, (item, *ring)[:size])}
+
+    tree = grow(0, tuple(range(size)))
+    # all known rings go on together; equal ones become one
+    known.sort(key=lambda k: -k[0])
+    rings: dict[tuple, list[list]] = {}
+    for at in range(len(items) + 1):
+        while known and known[-1][0] == at:
+            _, ring, leaf = known.pop()
+            rings.setdefault(ring, []).append(leaf)
+        if at < len(items) and any(items[at] not in ring for ring in rings):
+            moved: dict[tuple, list[list]] = {}
+            for ring, leaves in rings.items():
+                moved.setdefault(tuple(push(list(ring), items[at])[1]), []).extend(leaves)
+            rings = moved
+    for ring, leaves in rings.items():
+        for leaf in leaves:
+            leaf[:] = ring
+    return tree
+
+
+def follow(tree: dict | list, ring: list[str]) -> list[str]:
+    """The ring at the end of a block that starts from ``ring``."""
+    while isinstance(tree, dict):
+        at = ring.index(tree["item"]) if tree["item"] in ring else -1
+        tree = tree["met"].get(str(at), tree["else"])
+    return [ring[x] if isinstance(x, int) else x for x in tree if not isinstance(x, int) or x < len(ring)]
+
+
+def _by_key(block: pd.DataFrame) -> Iterator[tuple[str, pd.DataFrame]]:
+    """The rows of each key of a block in order, keys in the order of the sort."""
+    block = block.sort_values("_row")
+    key = block["key"].fillna("") + block["key"].isna().map({True: "0", False: "1"})
+    for _, rows in block.groupby((key != key.shift()).cumsum(), sort=True):
+        yield rows["key"].iloc[0], rows
+
+
+def _rings(rows: pd.DataFrame, column: str) -> dict[str, list[str]]:
+    return {k: list(r) for k, r in zip(rows["key"], rows[column], strict=True) if r is not None}
+
+
+def _cases(block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
+    rings = _rings(given, "ring")
+    found = []
+    for n, (key, rows) in enumerate(_by_key(block)):
+        ring = rings.get(key, [])
+        tree = run_ring(ring, rows["hash"])[1] if n else case_tree(rows["hash"].tolist())
+        found.append((key, block["_block"].iloc[0], ring, json.dumps(tree)))
+    return pd.DataFrame(found, columns=["key", "_block", "_given", "_cases"])
+
+
+def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Follows the blocks of each key; the rows come sorted by key and block."""
+    last, ring = object(), []
+    for batch in batches:
+        starts, ends = [], []
+        for key, given, cases in zip(batch["key"], batch["_given"], batch["_cases"], strict=True):
+            if key != last:
+                last, ring = key, list(given)
+            starts.append(ring)
+            ring = follow(json.loads(cases), ring)
+            ends.append(ring)
+        yield batch[["key", "_block"]].assign(_start=starts, _end=ends)
+
+
+def _flags(block: pd.DataFrame, states: pd.DataFrame) -> pd.DataFrame:
+    rings = _rings(states, "_start")
+    parts = [rows.assign(accepted=run_ring(rings[key], rows["hash"])[0]) for key, rows in _by_key(block)]
+    columns = ["key", "seq", "hash", "accepted"]
+    return pd.concat(parts)[columns] if parts else pd.DataFrame(columns=columns)
 
 
 @dataclass(frozen=True)
@@ -60,59 +145,24 @@ class RingResult:
 def recent_ring(rows: DataFrame, block_bits: int = BLOCK_BITS, given: DataFrame | None = None) -> RingResult:
     """Decides every row of ``rows(key, seq, hash)``; ``seq`` is unique and ``given(key, ring)`` are the
     rings to start from (empty by default)."""
-    ship_package(rows.sparkSession, lorekeep)
+    spark = rows.sparkSession
+    ship_package(spark, lorekeep)
     seq_type = rows.schema["seq"].dataType.simpleString()
     narrow = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").orderBy("key", "seq")
-    blocked = stage(
-        narrow.withColumn("_block", F.shiftright(F.monotonically_increasing_id(), block_bits)), "ring-rows"
-    )
-    on = ["key", "_block"]
-    empty = F.array().cast("array<string>")
-    by_key = Window.partitionBy("key").orderBy("_block")
-    has_next = F.lead("_block").over(by_key).isNotNull()
-
-    def ends(starts: DataFrame) -> DataFrame:
-        return (
-            blocked.join(starts, on)
-            .groupBy(*on)
-            .applyInPandas(_end_state, "key string, _block bigint, _end array<string>")
-        )
-
-    # The first block of a key starts from its given ring; the others guess an empty one.
-    blocks = blocked.select(*on).distinct()
-    rings = blocks.withColumn("ring", empty) if given is None else blocks.join(given, "key", "left")
-    first = F.lag("_block").over(by_key).isNull()
+    numbered = narrow.withColumn("_row", F.monotonically_increasing_id())
+    blocked = stage(numbered.withColumn("_block", F.shiftright("_row", block_bits)), "ring-rows")
+    if given is None:
+        given = spark.createDataFrame([], "key string, ring array<string>")
+    mine = blocked.select("key", "_block").distinct().alias("b").join(
+        given.alias("g"), F.col("b.key").eqNullSafe(F.col("g.key"))
+    ).select(F.col("b.key").alias("key"), F.col("b._block").alias("_block"), "g.ring")
+
+    def per_block(other: DataFrame, fn, schema: str) -> DataFrame:
+        return blocked.groupBy("_block").cogroup(other.groupBy("_block")).applyInPandas(fn, schema)
+
+    cases = per_block(mine, _cases, _CASES)
     states = stage(
-        rings.select(
-            *on,
-            F.when(first, F.coalesce("ring", empty)).otherwise(empty).alias("_start"),
-            F.lit(None).cast("array<string>").alias("_end"),
-            has_next.alias("_has_next"),
-            has_next.alias("_stale"),
-        ),
-        "ring",
-    )
-    while not states.where("_stale").isEmpty():
-        done = ends(states.where("_stale").select(*on, "_start")).withColumnRenamed("_end", "_new_end")
-        handed_on = F.coalesce(F.lag("_end").over(by_key), F.col("_start"))
-        states = stage(
-            states.join(done, on, "left")
-            .withColumn("_end", F.coalesce("_new_end", "_end"))
-            .withColumn("_given", handed_on)
-            .select(
-                *on,
-                F.col("_given").alias("_start"),
-                "_end",
-                "_has_next",
-                (F.col("_has_next") & (F.col("_given") != F.col("_start"))).alias("_stale"),
-            ),
-            "ring",
-        )
-    starts = states.select(*on, "_start")
-    flagged = (
-        blocked.join(starts, on)
-        .groupBy(*on)
-        .applyInPandas(_flags, f"key string, seq {seq_type}, hash string, accepted boolean")
+        cases.repartition("key").sortWithinPartitions("key", "_block").mapInPandas(_compose, _STATES), "ring"
     )
-    last = ends(states.where(~F.col("_has_next")).select(*on, "_start"))
-    return RingResult(flagged, last.select("key", F.col("_end").alias("ring")))
+    flagged = per_block(states, _flags, f"key string, seq {seq_type}, hash string, accepted boolean")
+    return RingResult(flagged, states.groupBy("key").agg(F.max_by("_end", "_block").alias("ring")))

@@ -86,5 +86,5 @@ class RecentRingSink:
         before = _state(batch.sparkSession, f"{self.root}/rings", RING_STATE, batch_id)
         done = recent_ring(batch, self.block_bits, before)
         write_part(S.conform(done.rows, DECISION), f"{self.root}/decisions", batch_id)
-        idle = before.join(done.rings.select("key"), "key", "left_anti")
+        idle = before.join(done.rings, before["key"].eqNullSafe(done.rings["key"]), "left_anti")
         write_part(idle.unionByName(done.rings), f"{self.root}/rings", batch_id)

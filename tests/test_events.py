@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators.events import at_micros, chord_held, double_chord, double_trigger
-from lorekeep.operators.recent_ring import recent_ring
+from lorekeep.operators.recent_ring import case_tree, follow, recent_ring, run_ring
 from lorekeep.streaming.events import DoubleTriggerSink, RecentRingSink
 from tests import model
 
@@ -88,6 +88,37 @@ def test_ring_in_blocks_equals_one_pass(spark, letters):
     assert got == expected
 
 
+def test_case_tree_equals_one_pass():
+    rng = random.Random(8)
+    for _ in range(400):
+        items = [rng.choice(["a", "b", "c", "d", "e", None]) for _ in range(rng.randint(0, 9))]
+        ring = rng.sample(["a", "b", "c", "d", "x", "y", None], rng.randint(0, 3))
+        assert follow(case_tree(items), ring) == run_ring(ring, items)[1]
+
+
+def test_ring_jobs_do_not_grow_with_a_key(spark):
+    def jobs(n):
+        group = f"ring-{n}"
+        spark.sparkContext.setJobGroup(group, "")
+        rows = [("k", i, "z" if i == 0 else "a") for i in range(n)]
+        got = recent_ring(ring_rows(spark, rows), 2).rows.where("accepted").count()
+        spark.sparkContext.setLocalProperty("spark.jobGroup.id", None)
+        assert got == 2
+        return len(spark.sparkContext.statusTracker().getJobIdsForGroup(group))
+
+    assert jobs(16) == jobs(256)
+
+
+def test_ring_null_keys_and_hashes(spark):
+    rows = [(None, 1, "a"), (None, 2, None), (None, 3, "a"), ("", 4, "a"), (None, 5, None), ("", 6, None)]
+    for bits in (0, 1, 20):
+        done = recent_ring(ring_rows(spark, rows), bits)
+        got = {r["seq"]: r["accepted"] for r in done.rows.collect()}
+        assert got == {1: True, 2: True, 3: False, 4: True, 5: False, 6: True}
+        assert {r["key"]: r["ring"] for r in done.rings.collect()} == {None: [None, "a"], "": [None, "a"]}
+    assert recent_ring(ring_rows(spark, [])).rows.count() == 0
+
+
 def cut(rows, parts):
     size = len(rows) // parts + 1
     return [rows[i : i + size] for i in range(0, len(rows), size)]
