@@ -10,6 +10,10 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from lorekeep import schemas as S
 from lorekeep.functions.text import WHITE_SPACE, contains_keyword, keyword, lower_literal, nz
+from lorekeep.operators.first_wins import with_dense_rank
+
+DEEP_OFFSET = 100_000
+"""Beyond this many rows a page is found by rank, not by a top-k that holds all rows before it."""
 
 
 @dataclass(frozen=True)
@@ -92,8 +96,17 @@ def newest_first(rows: DataFrame, changed: str, limit: object, offset: object) -
 
 
 def page_ids(matches: DataFrame, changed: str, limit: object, offset: object) -> list[int]:
-    """The ids of one page, at most 100 numbers.  ``matches`` needs only ``id`` and ``changed``."""
-    page = newest_first(matches.select("id", changed), changed, limit, offset)
+    """The ids of one page, at most 100 numbers.  ``matches`` needs only ``id`` and ``changed``.
+
+    A deep page is taken by rank from a range-partitioned sort of these two columns; the result is the same.
+    """
+    narrow = matches.select("id", changed)
+    size, start = page_bounds(limit, offset)
+    if start > DEEP_OFFSET:
+        ranked = with_dense_rank(narrow, F.col(changed).desc(), F.col("id").desc(), label="pages")
+        page = ranked.where(F.col("rank").between(start, start + size - 1)).orderBy("rank")
+    else:
+        page = newest_first(narrow, changed, limit, offset)
     return [row["id"] for row in page.collect()]
 
 

@@ -162,6 +162,13 @@ def test_list_solutions(stored, f, expected):
     assert tuple(totals.first()) == (len(expected), everything)
 
 
+def test_deep_pages_equal_the_others(stored, monkeypatch):
+    filters = [Q.SolutionFilter(limit=2, offset=k) for k in (1, 2, 3, 4, 9)]
+    expected = [ids(Q.list_solutions(stored, f)) for f in filters]
+    monkeypatch.setattr(Q, "DEEP_OFFSET", 0)
+    assert [ids(Q.list_solutions(stored, f)) for f in filters] == expected == [[2, 1], [1, 4], [4], [], []]
+
+
 def test_relational_forms_agree(stored):
     rows = D.solution_tags(stored)
     for tag in ("red", "blue", "none"):
