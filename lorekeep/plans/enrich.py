@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
@@ -24,6 +25,7 @@ from lorekeep.functions.text import (
     utrim,
 )
 from lorekeep.operators.captures import unanalyzed, upsert_insights
+from lorekeep.operators.first_wins import attach_per_key, first_per_key
 from lorekeep.operators.recent_ring import recent_ring
 from lorekeep.session import ship_package, stage
 
@@ -220,8 +222,6 @@ def analyze_captures(
     ``error``, ``bad_envelope``, ``empty_output`` or ``bad_json``.  The answers are staged, so a lost
     executor or a later step never repeats a finished call.
     """
-    ship_package(captures.sparkSession, lorekeep)
-    extractor = extractor or calls(rule_answer)
     # The ids are compared first, so the texts of captures with an insight never move.
     todo = stage(unanalyzed(captures.select("id"), insights), "pending")
     pending = captures.join(todo, "id", "left_semi")
@@ -234,10 +234,26 @@ def analyze_captures(
             "id", F.lit("throttled").alias("status"), F.lit("").alias("error")
         )
         pending = pending.join(ring.where("accepted").select("id"), "id", "left_semi")
+    fresh, called = _called(captures, pending, extractor, model, provider, prompt)
+    report = called.unionByName(
+        captures.select("id")
+        .join(insights.select(F.col("capture_id").alias("id")), "id", "left_semi")
+        .select("id", F.lit("cached").alias("status"), F.lit("").alias("error"))
+    )
+    if throttle_by:
+        report = report.unionByName(refused)
+    return upsert_insights(insights, fresh, as_of), report
+
+
+def _called(
+    captures: DataFrame, pending: DataFrame, extractor: Callable | None, model: str, provider: str, prompt: str | None
+) -> tuple[DataFrame, DataFrame]:
+    """One call per row of ``pending``: the insights it yields, and ``(id, status, error)``."""
+    ship_package(captures.sparkSession, lorekeep)
     work = pending.select("id", "content", "content_type", "captured_at")
     if prompt is not None:
         work = work.withColumn("request_json", request_json(model, prompt))
-    answers = stage(work.mapInPandas(extractor, CALL_RESULT), "answers")
+    answers = stage(work.mapInPandas(extractor or calls(rule_answer), CALL_RESULT), "answers")
     parsed = parse_responses(answers.where(F.col("status") == "ok"))
     good = normalize_analysis(parsed.where(F.col("parse_error").isNull()))
     source = captures.select("id", F.col("source").alias("capture_source"))
@@ -251,23 +267,74 @@ def analyze_captures(
         F.lit(provider).alias("provider"),
         F.col("body").alias("raw_json"),
     )
-    report = (
-        answers.where(F.col("status") != "ok")
-        .select("id", "status", "error")
-        .unionByName(
-            parsed.select(
-                "id", F.coalesce("parse_error", F.lit("ok")).alias("status"), F.lit("").alias("error")
-            )
-        )
-        .unionByName(
-            captures.select("id")
-            .join(insights.select(F.col("capture_id").alias("id")), "id", "left_semi")
-            .select("id", F.lit("cached").alias("status"), F.lit("").alias("error"))
-        )
+    failed = answers.where(F.col("status") != "ok").select("id", "status", "error")
+    read = parsed.select("id", F.coalesce("parse_error", F.lit("ok")).alias("status"), F.lit("").alias("error"))
+    return fresh, failed.unionByName(read)
+
+
+@dataclass(frozen=True)
+class AnalysisResult:
+    """The new insight table, ``report(seq, id, status, error)`` per request, and ``rings(key, ring)`` to hand to
+    the next batch of requests."""
+
+    table: DataFrame
+    report: DataFrame
+    rings: DataFrame
+
+
+def analyze_requests(
+    captures: DataFrame,
+    insights: DataFrame,
+    requests: DataFrame,
+    extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None,
+    *,
+    rings: DataFrame | None = None,
+    model: str = "",
+    provider: str = "rules",
+    prompt: str | None = None,
+    as_of=None,
+) -> AnalysisResult:
+    """Analyses the captures that ``requests(seq, id)`` ask for; ``seq`` is unique, ids may repeat without limit.
+
+    The requests are read as made together, before any answer is in: ``not_found`` for an unknown or null id,
+    ``cached`` where the table has an insight; of the others, in ``seq`` order, those whose text is among the last
+    three accepted are ``throttled``.  Each capture with an accepted request is called once.  Its first accepted
+    request reports the result, a later one ``cached`` or the same failure.  ``rings`` are those an earlier batch
+    ended with.
+    """
+    asked = requests.select("seq", "id")
+    uses = asked.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
+    told = insights.select(F.col("capture_id").alias("id"), F.lit(True).alias("told"))
+    known = uses.join(captures.select("id", "content_hash"), "id").join(told, "id", "left")
+    known = stage(known.withColumn("found", F.lit(True)), "asked-captures")
+    rows = stage(attach_per_key(asked, known, "id"), "requests")
+    status = F.when(F.col("found").isNull(), "not_found").when(F.col("told"), "cached")
+    settled = rows.where(status.isNotNull()).select("seq", "id", status.alias("status"), F.lit("").alias("error"))
+
+    ring = recent_ring(
+        rows.where(status.isNull()).select(F.lit("").alias("key"), "seq", F.col("content_hash").alias("hash")), given=rings
     )
-    if throttle_by:
-        report = report.unionByName(refused)
-    return upsert_insights(insights, fresh, as_of), report
+    decided = stage(ring.rows.select("seq", "accepted"), "throttle").join(rows.select("seq", "id"), "seq")
+    throttled = decided.where(~F.col("accepted")).select(
+        "seq", "id", F.lit("throttled").alias("status"), F.lit("").alias("error")
+    )
+    accepted = stage(decided.where("accepted").select("seq", "id"), "accepted")
+    firsts = stage(first_per_key(accepted, "id"), "first-accepted")
+    fresh, called = _called(
+        captures, captures.join(firsts.select("id"), "id", "left_semi"), extractor, model, provider, prompt
+    )
+    results = stage(called.join(firsts, "id"), "results")
+    again = (F.col("seq") != F.col("first_seq")) & (F.col("status") == "ok")
+    answered = attach_per_key(accepted, results, "id").select(
+        "seq", "id", F.when(again, "cached").otherwise(F.col("status")).alias("status"), "error"
+    )
+    report = settled.unionByName(throttled).unionByName(answered)
+    if rings is None:
+        after = ring.rings
+    else:
+        idle = rings.join(ring.rings, rings["key"].eqNullSafe(ring.rings["key"]), "left_anti")
+        after = idle.unionByName(ring.rings)
+    return AnalysisResult(upsert_insights(insights, fresh, as_of), report, after)
 
 
 def analysis_outcomes(report: DataFrame) -> DataFrame:

@@ -40,8 +40,8 @@ def in_id_order(df: DataFrame) -> DataFrame:
     return df.repartitionByRange("id").sortWithinPartitions("id") if "id" in df.columns else df
 
 
-def write_part(df: DataFrame, path: str, batch_id: int) -> None:
-    in_id_order(df).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+def write_part(df: DataFrame, path: str, batch_id: int, *, sort: bool = True) -> None:
+    (in_id_order(df) if sort else df).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
 def read_parts(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:

@@ -3,7 +3,7 @@
 The stored captures are the deduplication state, so no streaming state grows without bound.  A
 micro-batch scans the stored hashes (one column) with its own hashes broadcast while they are few, and
 appends one part per table, named by the batch id and computed only from earlier parts: a replayed
-batch writes the same parts again.
+batch writes the same parts again.  What became of each row, and of each analysis, is kept in parts too.
 """
 
 from __future__ import annotations
@@ -12,15 +12,19 @@ from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql.types import LongType, StringType, StructField, StructType
 
 from lorekeep import schemas as S
 from lorekeep.operators.captures import captured_rows, keyed_captures
-from lorekeep.operators.first_wins import resolve_keys
+from lorekeep.operators.first_wins import outcomes, resolve_keys
 from lorekeep.operators.solutions import created_solutions, keyed_creates
 from lorekeep.plans.enrich import analyze_captures
 from lorekeep.plans.promote import promotion_requests
 from lorekeep.sources.tables import read_parts, write_part
 
+OUTCOME = StructType([StructField("seq", LongType()), StructField("outcome", StringType()), StructField("id", LongType())])
+REPORT = StructType([StructField("id", LongType()), StructField("status", StringType()), StructField("error", StringType())])
+
 
 @dataclass(frozen=True)
 class CaptureSink:
@@ -42,10 +46,21 @@ class CaptureSink:
     def solutions(self, spark: SparkSession, before: int | None = None) -> DataFrame:
         return read_parts(spark, f"{self.root}/solutions", S.SOLUTION, before)
 
+    def outcomes(self, spark: SparkSession) -> DataFrame:
+        """``(seq, outcome, id)`` per row taken in: ``created``, ``duplicate`` or ``empty``."""
+        return read_parts(spark, f"{self.root}/outcomes", OUTCOME)
+
+    def analyses(self, spark: SparkSession) -> DataFrame:
+        """``(id, status, error)`` per capture analysed."""
+        return read_parts(spark, f"{self.root}/analyses", REPORT)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         stored = self.captures(spark, batch_id)
-        resolved = resolve_keys(keyed_captures(batch), stored, "content_hash")
+        keyed = keyed_captures(batch)
+        resolved = resolve_keys(keyed, stored, "content_hash")
+        told = S.conform(outcomes(keyed, resolved, "content_hash"), OUTCOME)
+        write_part(told, f"{self.root}/outcomes", batch_id, sort=False)
         write_part(captured_rows(batch, resolved, self.as_of), f"{self.root}/captures", batch_id)
         if self.auto_analyze:
             self._analyze_and_promote(spark, batch_id)
@@ -53,9 +68,10 @@ class CaptureSink:
     def _analyze_and_promote(self, spark: SparkSession, batch_id: int) -> None:
         part = spark.read.schema(S.CAPTURE).parquet(f"{self.root}/captures/batch_id={batch_id}")
         none = spark.createDataFrame([], S.INSIGHT)
-        fresh, _ = analyze_captures(
+        fresh, report = analyze_captures(
             part, none, self.extractor, model=self.model, provider=self.provider, as_of=self.as_of
         )
+        write_part(report, f"{self.root}/analyses", batch_id, sort=False)
         write_part(fresh, f"{self.root}/insights", batch_id)
         insights = spark.read.schema(S.INSIGHT).parquet(f"{self.root}/insights/batch_id={batch_id}")
         asked = part.select(F.col("id").alias("seq"), "id")

@@ -13,8 +13,8 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType, BooleanType, LongType, StringType, StructField, StructType
 
 from lorekeep import schemas as S
-from lorekeep.operators.events import SLOT_MICROS, fired, placed_presses
-from lorekeep.operators.recent_ring import BLOCK_BITS, recent_ring
+from lorekeep.operators.events import BLOCK_BITS, fired, incomplete_events, placed_presses
+from lorekeep.operators.recent_ring import BLOCK_BITS as RING_BLOCK_BITS, recent_ring
 from lorekeep.session import stage
 from lorekeep.sources.tables import read_parts, write_part
 
@@ -24,6 +24,7 @@ def _fields(*pairs) -> StructType:
 
 
 FIRING = _fields(("user_id", LongType()), ("at_us", LongType()), ("event_id", LongType()))
+REFUSED = _fields(("user_id", LongType()), ("at_us", LongType()), ("event_id", LongType()), ("reason", StringType()))
 PRESS_STATE = _fields(("user_id", LongType()), ("last_us", LongType()), ("unpaired_us", LongType()))
 DECISION = _fields(("key", StringType()), ("seq", LongType()), ("hash", StringType()), ("accepted", BooleanType()))
 RING_STATE = _fields(("key", StringType()), ("ring", ArrayType(StringType())))
@@ -42,25 +43,35 @@ class DoubleTriggerSink:
     """Double triggers of ``(user_id, at_us, event_id)`` rows.
 
     State: the time of a user's last press and of the unpaired one.  A press older than the last one
-    of an earlier batch is dropped.  The unpaired press re-enters the next batch as its first press, so
-    a pair may span batches.
+    of an earlier batch is ``late``, one without user or time ``incomplete``; both are kept apart in
+    ``refused`` with their reason.  The unpaired press re-enters the next batch as its first press, so a pair may
+    span batches.
     """
 
     root: str
     gap: int = S.DOUBLE_TRIGGER_GAP_MICROS
-    slot: int = SLOT_MICROS
+    block_bits: int = BLOCK_BITS
 
     def firings(self, spark: SparkSession) -> DataFrame:
         return read_parts(spark, f"{self.root}/firings", FIRING)
 
+    def refused(self, spark: SparkSession) -> DataFrame:
+        return read_parts(spark, f"{self.root}/refused", REFUSED)
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         before = _state(batch.sparkSession, f"{self.root}/presses", PRESS_STATE, batch_id)
         waiting = before.where(F.col("unpaired_us").isNotNull()).select(
             "user_id", F.col("unpaired_us").alias("at_us"), F.lit(EARLIEST_ID).alias("event_id")
         )
-        fresh = batch.select("user_id", "at_us", "event_id").join(before.select("user_id", "last_us"), "user_id", "left")
-        fresh = fresh.where(F.col("last_us").isNull() | (F.col("at_us") >= F.col("last_us"))).drop("last_us")
-        placed = stage(placed_presses(fresh.unionByName(waiting), self.gap, self.slot), "presses")
+        presses = batch.select("user_id", "at_us", "event_id")
+        known = stage(presses.join(before.select("user_id", "last_us"), "user_id", "left"), "known-presses")
+        late = F.coalesce(F.col("at_us") < F.col("last_us"), F.lit(False))
+        refused = known.where(late).withColumn("reason", F.lit("late")).unionByName(
+            incomplete_events(known).withColumn("reason", F.lit("incomplete"))
+        )
+        write_part(S.conform(refused, REFUSED), f"{self.root}/refused", batch_id)
+        fresh = known.where(~late).drop("last_us")
+        placed = stage(placed_presses(fresh.unionByName(waiting), self.gap, self.block_bits), "presses")
         write_part(fired(placed), f"{self.root}/firings", batch_id)
 
         newest = F.struct("at_us", "event_id")
@@ -77,7 +88,7 @@ class RecentRingSink:
     """The recent-ring throttle over ``(key, seq, hash)`` rows; the state is one ring per key."""
 
     root: str
-    block_bits: int = BLOCK_BITS
+    block_bits: int = RING_BLOCK_BITS
 
     def decisions(self, spark: SparkSession) -> DataFrame:
         return read_parts(spark, f"{self.root}/decisions", DECISION)

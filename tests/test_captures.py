@@ -168,6 +168,35 @@ def test_throttle_refuses_recent_texts(spark):
     assert {r["id"]: r["status"] for r in report.collect()} == {1: "ok", 2: "ok", 3: "ok", 4: "throttled"}
 
 
+def test_analysis_by_request(spark):
+    table = inserted(spark, ["key", "one", "two", "three", "four", "known"]).table
+    told = insights(spark, [{"capture_id": 6, "title": "", "summary": "s", "suggested_status": "draft"}])
+    ask = lambda *ids: spark.createDataFrame(list(enumerate(ids)), "seq bigint, id bigint")
+    statuses = lambda done: [r["status"] for r in sorted(done.report.collect(), key=lambda r: r["seq"])]
+    how = {"extractor": enrich.calls(answer), "as_of": "2024-01-03"}
+
+    done = enrich.analyze_requests(table, told, ask(1, 1, 2, 99, 6, 3, None, 4, 1, 2), **how)
+    assert statuses(done) == [
+        "unavailable", "throttled", "ok", "not_found", "cached", "ok", "not_found", "ok", "unavailable", "cached",
+    ]
+    assert {r["capture_id"] for r in done.table.collect()} == {2, 3, 4, 6}
+    after = enrich.analyze_requests(table, told, ask(2, 3, 5), rings=done.rings, **how)
+    assert statuses(after) == ["throttled", "ok", "ok"]
+    empty = enrich.analyze_requests(table, told, ask(5).where("false"), rings=after.rings, **how)
+    assert empty.report.count() == 0 and empty.table.count() == 1
+    assert empty.rings.collect() == after.rings.collect()
+
+
+def test_requests_for_one_hot_id(spark, monkeypatch):
+    monkeypatch.setattr("lorekeep.operators.first_wins.HOT_KEY_ROWS", 10)
+    table = inserted(spark, ["one", "two"]).table
+    asked = spark.createDataFrame([(i, 1 if i < 60 else 2) for i in range(80)], "seq bigint, id bigint")
+    none = spark.createDataFrame([], S.INSIGHT)
+    report = enrich.analyze_requests(table, none, asked, as_of="2024-01-03").report
+    counts = {tuple(r)[:2]: r["count"] for r in report.groupBy("id", "status").count().collect()}
+    assert counts == {(1, "ok"): 1, (1, "throttled"): 59, (2, "ok"): 1, (2, "throttled"): 19}
+
+
 def test_contract_check(spark):
     good = ("t", "s", "c", "p", "x", "", "", "", "draft", 0.5, [])
     rows = [good, (None, *good[1:]), (*good[:8], "odd", 0.5, []), (*good[:10], None)]

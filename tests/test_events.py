@@ -5,7 +5,7 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
-from lorekeep.operators.events import at_micros, chord_held, double_chord, double_trigger
+from lorekeep.operators.events import _blocked, at_micros, chord_held, double_chord, double_trigger, incomplete_events
 from lorekeep.operators.recent_ring import case_tree, follow, recent_ring, run_ring
 from lorekeep.streaming.events import DoubleTriggerSink, RecentRingSink
 from tests import model
@@ -35,18 +35,27 @@ def by_user(rows):
     return users
 
 
-@pytest.mark.parametrize(("seed", "slot"), [(1, 7), (2, 1), (3, 10_000)])
-def test_slots_do_not_change_the_rules(spark, seed, slot):
+@pytest.mark.parametrize(("seed", "bits"), [(1, 2), (2, 0), (3, 17)])
+def test_blocks_do_not_change_the_rules(spark, seed, bits):
     rows = make_events(random.Random(seed), 200)
     df = frame(spark, rows)
     users = by_user(rows)
     for gap in (3, 60):
         expected = sorted((u, e) for u, evs in users.items() for e in model.double_trigger([(a, i) for a, i, *_ in evs], gap))
-        assert fired(double_trigger(df, gap, slot)) == expected
+        assert fired(double_trigger(df, gap, bits)) == expected
     held = {u: model.held_presses(evs) for u, evs in users.items()}
-    assert fired(chord_held(df, slot)) == sorted((u, e) for u, evs in held.items() for _, e in evs)
+    assert fired(chord_held(df, bits)) == sorted((u, e) for u, evs in held.items() for _, e in evs)
     expected = sorted((u, e) for u, evs in held.items() for e in model.double_trigger(evs, 5))
-    assert fired(double_chord(df, 5, slot)) == expected
+    assert fired(double_chord(df, 5, bits)) == expected
+
+
+def test_one_user_and_instant_with_most_events_is_cut(spark):
+    rows = [(1, 7, i % 900, "c", "down") for i in range(1000)] + [(2, 7, 0, "c", "down"), (2, 9, 1, "c", "down")]
+    df = frame(spark, rows).unionByName(frame(spark, [(None, 1, 1, "c", "down"), (1, None, 2, "c", "down")]))
+    assert _blocked(df, 5).groupBy("user_id", "_block").count().agg(F.max("count")).first()[0] <= 32
+    for bits in (5, 17):
+        assert sorted(double_trigger(df, 3, bits).groupBy("user_id").count().collect()) == [(1, 500), (2, 1)]
+    assert sorted(r["event_id"] for r in incomplete_events(df).collect()) == [1, 2]
 
 
 @pytest.mark.parametrize(
@@ -126,14 +135,17 @@ def cut(rows, parts):
 
 def test_streamed_rules_equal_the_batch_rules(spark, folder):
     rows = sorted(make_events(random.Random(6), 120), key=lambda r: (r[1], r[2]))
-    sink = DoubleTriggerSink(f"{folder}/press", gap=4, slot=16)
+    sink = DoubleTriggerSink(f"{folder}/press", gap=4, block_bits=3)
     for i, part in enumerate(cut(rows, 2)):
         sink(frame(spark, part), i)
     sink(frame(spark, part), i)  # a replayed batch changes nothing
     assert fired(sink.firings(spark)) == fired(double_trigger(frame(spark, rows), 4))
 
     late = [(rows[-1][0], -1000, 10_000, "c", "down"), (rows[-1][0], -999, 10_001, "c", "down")]
-    sink(frame(spark, late), 2)
+    nowhere = [(None, 5, 10_002, "c", "down"), (rows[-1][0], None, 10_003, "c", "down")]
+    sink(frame(spark, late + nowhere), 2)
+    refused = {r["event_id"]: r["reason"] for r in sink.refused(spark).collect()}
+    assert refused == {10_000: "late", 10_001: "late", 10_002: "incomplete", 10_003: "incomplete"}
     assert fired(sink.firings(spark)) == fired(double_trigger(frame(spark, rows), 4))
 
     rng = random.Random(7)

@@ -569,8 +569,30 @@ def oracles() -> dict[str, str]:
         )
         + f"select {TABLE_COLS} from fresh"
     )
+    found["capture_stream_report"] = with_(
+        CAPS, MORE_CAPS, f"every as (select {CAPTURE_COLS} from caps union all select {CAPTURE_COLS} from more_caps)"
+    ) + (
+        "select r.seq, c.id, case when r.content = '' then 'empty' when c.seq = r.seq then 'created' else 'duplicate' end as status "
+        "from cap_rows r left join caps c on c.content_hash = r.content_hash union all "
+        "select r.seq, coalesce(n.id, c.id), case when r.content = '' then 'empty' when n.seq = r.seq then 'created' else 'duplicate' end "
+        "from more_rows r left join more_caps n on n.content_hash = r.content_hash left join caps c on c.content_hash = r.content_hash "
+        "union all select null, id, case " + " ".join(f"when content_type = '{k}' then '{v}'" for k, v in FAILURES.items()) + " end from every"
+    )
     found["import_json_array"] = found["import_jsonl"] = found["source_registry"]
     found["double_trigger_stream"] = found["double_trigger"]
+    found["refused_presses_stream"] = (
+        f"with e as (select user_id, epoch_us(ts) as at_us, event_id from ({I.sql_text(W.GAPPY_EVENTS)})), "
+        f"newest as (select user_id, max(at_us) as last_us from e where at_us >= {W.MIDDLE} group by user_id) "
+        "select e.user_id, at_us, event_id, 'late' as reason from e join newest n on n.user_id = e.user_id "
+        f"where at_us < {W.MIDDLE} union all "
+        "select user_id, at_us, event_id, 'incomplete' from e where user_id is null or at_us is null"
+    )
+    # An id is asked for twice in a row, and once more after all others.
+    found["analyze_requests"] = with_(INSIGHTS, f"asked as ({I.sql_text(W.ANALYSIS_REQUESTS)})") + (
+        "select a.seq, a.id, case when c.id is null then 'not_found' when i.capture_id is not null then 'cached' "
+        "when abs(a.seq) % 2 = 1 then 'throttled' when a.seq >= 0 then 'cached' else 'ok' end as status "
+        "from asked a left join caps c on c.id = a.id left join insights i on i.capture_id = a.id"
+    )
     found["recent_ring_throttle"] = ring(ALL_CAPTURES, "seq")
     found["recent_ring_stream"] = ring(
         f"select 1 as load, * from ({caps}) union all select 2, * from ({src('MORE_CAPTURES')})", "load, seq"

@@ -637,6 +637,23 @@ def analysis_outcomes(spark, sf_dir):
     return enrich.analysis_outcomes(report)
 
 
+# Each id twice in a row, then once more after all others, and ids without a capture.
+ANALYSIS_REQUESTS = """
+select (doc_id - 1000000000) * 4 as seq, doc_id + 1 as id from {documents}
+union all select (doc_id - 1000000000) * 4 + 1, doc_id + 1 from {documents}
+union all select doc_id * 4, doc_id + 1 from {documents}
+union all select page_id * 4 + 2, -page_id from {pages}
+"""
+
+
+@query
+def analyze_requests(spark, sf_dir):
+    done = enrich.analyze_requests(
+        captures(spark, sf_dir), insights(spark, sf_dir), I.view(spark, sf_dir, ANALYSIS_REQUESTS), as_of=LATER
+    )
+    return done.report.select("seq", "id", "status")
+
+
 PROMOTIONS = (
     "select doc_id * 2 as seq, doc_id + 1 as id from {documents} "
     "union all select page_id * 2 + 1, page_id * 8 + 1 from {pages}"
@@ -694,11 +711,34 @@ def auto_analyze_promote(spark, sf_dir):
     return _table(CaptureSink(root).solutions(spark))
 
 
+@query
+def capture_stream_report(spark, sf_dir):
+    """What became of every streamed row and of every analysis, with one failure class per content type."""
+    ship_package(spark, workload)
+
+    def run(rows: DataFrame, root: str) -> None:
+        sink = CaptureSink(root, auto_analyze=True, extractor=enrich.calls(failing_answer), as_of=LATER)
+        run_available(rows, sink, f"{root}/checkpoint").awaitTermination()
+
+    root = _two_loads(spark, "capture-report", _capture_loads(spark, sf_dir), run)
+    done = CaptureSink(root)
+    taken = done.outcomes(spark).select("seq", "id", c("outcome").alias("status"))
+    analysed = done.analyses(spark).select(F.lit(None).cast("bigint").alias("seq"), "id", "status")
+    return taken.unionByName(analysed)
+
+
+MIDDLE = 1_705_276_800_000_000
+GAPPY_EVENTS = """
+select event_id, case when event_type = 'error' then null else user_id end as user_id,
+       case when event_type = 'signup' then null else ts end as ts
+from {events}
+"""
+
+
 @query
 def double_trigger_stream(spark, sf_dir):
     rows = _events(spark, sf_dir)
-    middle = 1_705_276_800_000_000
-    loads = [rows.where(c("at_us") < middle), rows.where(c("at_us") >= middle)]
+    loads = [rows.where(c("at_us") < MIDDLE), rows.where(c("at_us") >= MIDDLE)]
 
     def run(rows: DataFrame, root: str) -> None:
         run_available(rows, DoubleTriggerSink(root, GAP), f"{root}/checkpoint").awaitTermination()
@@ -707,6 +747,19 @@ def double_trigger_stream(spark, sf_dir):
     return DoubleTriggerSink(root).firings(spark)
 
 
+@query
+def refused_presses_stream(spark, sf_dir):
+    """The later half arrives first, so presses of the earlier half are late; some have no user or time."""
+    rows = I.view(spark, sf_dir, GAPPY_EVENTS).select("user_id", E.at_micros(c("ts")).alias("at_us"), "event_id")
+    later = F.coalesce(c("at_us") >= MIDDLE, F.lit(False))
+
+    def run(rows: DataFrame, root: str) -> None:
+        run_available(rows, DoubleTriggerSink(root, GAP), f"{root}/checkpoint").awaitTermination()
+
+    root = _two_loads(spark, "refused", [rows.where(later), rows.where(~later)], run)
+    return DoubleTriggerSink(root, GAP).refused(spark)
+
+
 def _ring_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
     rows = I.view(spark, sf_dir, sql)
     return rows.select(c("source").alias("key"), "seq", keys.content_hash(c("content")).alias("hash"))
