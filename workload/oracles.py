@@ -415,6 +415,7 @@ def oracles() -> dict[str, str]:
         + f"select seq, id, title, problem, solution_text, status, {join('tags')} as tags, invalid_reason from upd",
         "filter_status": stored_where("status = 'failed'"),
         "filter_efficacy": stored_where("efficacy_source = 'auto'"),
+        "filter_efficacy_mixed": stored_where("status <> 'draft'"),
         "search_solutions": stored_where(searched(f"{WORD} l")),
         "conjunctive_filter": stored_where(
             f"{searched(WORD)} and status = 'draft' and efficacy_source = 'auto' and list_contains(tags, 'fr')"
@@ -494,6 +495,10 @@ def oracles() -> dict[str, str]:
         "pager_info": with_(STORED)
         + ", t as (select count(*) as total, greatest(1, cast(ceil(count(*) / 40.0) as bigint)) as pages from stored) "
         "select total, pages, least(7, pages) as page, (least(7, pages) - 1) * 40 as page_offset from t",
+        "pager_info_past_end": with_(STORED)
+        + ", t as (select count(*) as total from stored where status = 'failed'), "
+        "p as (select total, greatest(1, (total + 39) // 40) as pages from t) "
+        "select total, pages, pages as page, (pages - 1) * 40 as page_offset from p",
         "create_solutions": with_(STORED, MORE, created("fresh", "more", "stored", LATER_S)) + outcome("more", "fresh", "stored"),
         "create_solutions_table": with_(STORED, MORE, created("fresh", "more", "stored", LATER_S))
         + f"select {TABLE_COLS} from stored union all select {TABLE_COLS} from fresh",

@@ -260,6 +260,14 @@ def filter_efficacy(spark, sf_dir):
     return _matches(spark, sf_dir, efficacy_source="Auto")
 
 
+@query
+def filter_efficacy_mixed(spark, sf_dir):
+    """Drafts are taken as assessed by hand, so the filter meets both values."""
+    source = F.when(c("status") == "draft", "manual").otherwise("auto")
+    rows = solutions(spark, sf_dir).withColumn("efficacy_source", source)
+    return Q.filter_solutions(rows, Q.SolutionFilter(efficacy_source="Auto")).select("id", "title", "status")
+
+
 @query
 def search_solutions(spark, sf_dir):
     return _matches(spark, sf_dir, query=f" {WORD} L")
@@ -492,6 +500,12 @@ def pager_info(spark, sf_dir):
     return info.withColumnRenamed("offset", "page_offset")
 
 
+@query
+def pager_info_past_end(spark, sf_dir):
+    info = Q.pager_info(Q.count_solutions(solutions(spark, sf_dir), Q.SolutionFilter(status="failed")), page=10**9)
+    return info.withColumnRenamed("offset", "page_offset")
+
+
 # --- table changes
 
 
