@@ -57,8 +57,8 @@ def normal_words(texts: list[bytes]) -> tuple[bytes, np.ndarray, np.ndarray, np.
     return normal.tobytes(), starts, stops, in_text
 
 
-def fingerprints(texts: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray:
-    """The 64-bit SimHash of each text over its shingles of ``width`` words, repeats included."""
+def shingle_hashes(texts: list[bytes], width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash of every shingle of ``width`` words, repeats included; its text; and the shingles of each text."""
     data, starts, stops, words = normal_words(texts)
     shingles = np.where(words >= width, words - width + 1, np.minimum(words, 1))
     owner = np.repeat(np.arange(len(texts)), shingles)
@@ -70,11 +70,16 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray:
     hashes = np.fromiter(
         (digest(view[a:b], 42) for a, b in zip(starts[begin].tolist(), stops[last].tolist())), "<u8", len(owner)
     )
-    result = np.zeros(len(texts), np.uint64)
+    return hashes, owner, shingles
+
+
+def majority_bits(hashes: np.ndarray, owner: np.ndarray, shingles: np.ndarray) -> np.ndarray:
+    """For each text, the bits set in more than half of its hashes."""
+    result = np.zeros(len(shingles), np.uint64)
     columns = hashes.view(np.uint8).reshape(-1, 8)
-    for at in range(0, len(texts), 2048):  # keeps the histograms small
+    for at in range(0, len(shingles), 2048):  # keeps the histograms small
         a, b = np.searchsorted(owner, [at, at + 2048])
-        docs = min(2048, len(texts) - at)
+        docs = min(2048, len(shingles) - at)
         base = (owner[a:b] - at) * 256
         for k in range(8):
             counts = np.bincount(base + columns[a:b, k], minlength=docs * 256).reshape(docs, 256)
@@ -84,6 +89,11 @@ def fingerprints(texts: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray:
     return result
 
 
+def fingerprints(texts: list[bytes], width: int = SHINGLE_WORDS) -> np.ndarray:
+    """The 64-bit SimHash of each text over its shingles of ``width`` words, repeats included."""
+    return majority_bits(*shingle_hashes(texts, width))
+
+
 def _fingerprint_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in slices(batches, "text"):
         prints = fingerprints(as_bytes(batch.column("text")))
