@@ -1,18 +1,21 @@
 """Mixing sources to target weights by Pfair scheduling.
 
 A source's documents, in order of ``doc_id``, are cut into blocks of ``BLOCK_BYTES`` of text; a document belongs
-to the block its first byte falls in.  Weights are rounded to whole slots of a period.  Block ``i`` of a source
-with ``n`` of ``D`` slots is released at ``floor(i D / n)`` and due at ``ceil((i + 1) D / n)``; earliest deadline
+to the block its first byte falls in.  A source with the share ``w`` of all weights has its block ``i`` released at
+``floor(i / w)`` and due at ``ceil((i + 1) / w)``, in whole numbers without rounding ``w``; earliest deadline
 first gives each block one slot between the two.  So before any slot, a source has had its weight's share
-to within less than one block.  As the pattern repeats with the period, only one period is worked out, on the
-driver, and each block's slot follows by arithmetic in the tasks.  When a source runs out, the others go on
+to within less than one block, however many slots there are.  When a source runs out, the others go on
 with their weights scaled up: a new phase, at most one for each source.  No block is left out or repeated.
 
-The driver holds one number for each source and one period for each phase; sources are taken to be few
-thousands at most.  No table of rows, and no join on the source, is needed, so a source may hold any share.
+With a ``period``, weights are first rounded to whole slots of it, one at least, and only one period is worked out;
+the deviation is then from the rounded weights.
+
+The driver works the slots out and holds eight bytes for each block, 4 MB for 30 GB of text, and one period instead
+where one is given; sources are taken to be few thousands at most.  No table of rows, and no join on the source, is
+needed, so a source may hold any share.
 
 Rows and edge cases: a null source is a source of its own, a null text has no bytes, repeated rows follow each
-other.  Sources without a given weight, or with one below the least share, get one slot of each period.  Extra
+other.  Sources without a given weight, or with none above zero, weigh ``1 / NO_WEIGHT`` of the weights given.  Extra
 columns pass through.  An empty table gives an empty result.
 """
 
@@ -20,6 +23,8 @@ from __future__ import annotations
 
 import heapq
 from dataclasses import dataclass
+from fractions import Fraction
+from math import lcm
 
 import numpy as np
 import pandas as pd
@@ -30,14 +35,14 @@ from lorekeep.operators.first_wins import with_dense_rank
 from lorekeep.session import stage
 
 BLOCK_BYTES = 1 << 16
-PERIOD = 1000
+NO_WEIGHT = 1000
 TEMPERATURE = 0.5
 ROWS = 1 << 16
 """Rows whose sizes one task sums in order."""
 NO_SOURCE = "\u0000"
 
 
-def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, int]:
+def whole_shares(weights: dict[str, float], period: int) -> dict[str, int]:
     """Slots of each source in a period: largest remainders, one slot at least."""
     period = max(period, 4 * len(weights))
     total = sum(max(w, 0.0) for w in weights.values()) or 1.0
@@ -55,6 +60,34 @@ def whole_shares(weights: dict[str, float], period: int = PERIOD) -> dict[str, i
     return shares
 
 
+def exact_shares(weights: dict[str, float]) -> dict[str, int]:
+    """Whole numbers in exactly the proportion of the weights."""
+    exact = {s: Fraction(max(w, 0.0)) for s, w in weights.items()}
+    least = (sum(exact.values()) or Fraction(1)) / NO_WEIGHT
+    scale = lcm(*(w.denominator for w in [*exact.values(), least]))
+    return {s: int((w or least) * scale) for s, w in exact.items()}
+
+
+def edf_slots(shares: dict[str, int], most: dict[str, int]) -> dict[str, np.ndarray]:
+    """The slots of each source by release time and earliest deadline, until one has had ``most`` slots."""
+    total = sum(shares.values())
+    slots: dict[str, list[int]] = {s: [] for s in shares}
+    waiting = [(0, s) for s in shares]
+    heapq.heapify(waiting)
+    ready: list[tuple[int, int, str]] = []
+    now = 0
+    while True:
+        while waiting and waiting[0][0] <= now:
+            _, s = heapq.heappop(waiting)
+            heapq.heappush(ready, (-(-(len(slots[s]) + 1) * total // shares[s]), -shares[s], s))
+        _, _, s = heapq.heappop(ready)
+        slots[s].append(now)
+        now += 1
+        if len(slots[s]) == most[s]:
+            return {s: np.array(x, np.int64) for s, x in slots.items()}
+        heapq.heappush(waiting, (len(slots[s]) * total // shares[s], s))
+
+
 def edf_period(shares: dict[str, int]) -> dict[str, np.ndarray]:
     """The slots of each source in one period, by release time and earliest deadline."""
     period = sum(shares.values())
@@ -81,19 +114,23 @@ class Phase:
     period: int
 
 
-def schedule(blocks: dict[str, int], weights: dict[str, float], period: int = PERIOD) -> dict[str, list[Phase]]:
+def schedule(blocks: dict[str, int], weights: dict[str, float], period: int | None = None) -> dict[str, list[Phase]]:
     """For each source, the phases its blocks are placed by."""
     phases: dict[str, list[Phase]] = {s: [] for s in blocks}
     left = {s: n for s, n in blocks.items() if n}
     base = 0
     while left:
-        patterns = edf_period(whole_shares({s: weights.get(s, 0.0) for s in left}, period))
+        own = {s: weights.get(s, 0.0) for s in left}
+        patterns = edf_period(whole_shares(own, period)) if period else edf_slots(exact_shares(own), left)
         length = sum(map(len, patterns.values()))
         for s in left:
             phases[s].append(Phase(blocks[s] - left[s], base, patterns[s], length))
-        ends = {s: (n - 1) // len(patterns[s]) * length + int(patterns[s][(n - 1) % len(patterns[s])]) + 1 for s, n in left.items()}
-        end = min(ends.values())
-        used = {s: end // length * len(p) + int(np.searchsorted(p, end % length)) for s, p in patterns.items()}
+        if period:
+            ends = {s: (n - 1) // len(patterns[s]) * length + int(patterns[s][(n - 1) % len(patterns[s])]) + 1 for s, n in left.items()}
+            end = min(ends.values())
+            used = {s: end // length * len(p) + int(np.searchsorted(p, end % length)) for s, p in patterns.items()}
+        else:
+            end, used = length, {s: len(p) for s, p in patterns.items()}
         left = {s: n - used[s] for s, n in left.items() if n > used[s]}
         base += end
     return phases
@@ -116,7 +153,7 @@ def mix(
     docs: DataFrame,
     weights: dict[str, float] | None = None,
     block_bytes: int = BLOCK_BYTES,
-    period: int = PERIOD,
+    period: int | None = None,
     temperature: float = TEMPERATURE,
 ) -> DataFrame:
     """``(k1, k2, doc_id, source, n_bytes, block, slot, start)``, one row for each row of ``docs``.

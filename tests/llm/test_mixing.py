@@ -64,3 +64,22 @@ def test_edge_rows_and_order(spark):
     early = [s for _, s in got[:60]]
     assert 20 <= early.count("cold") <= 40
     assert mixing.mix(df.limit(0)).collect() == [] and mixing.in_mixed_order(df.limit(0)).collect() == []
+
+
+def test_many_slots_stay_within_one_block_of_the_given_weights():
+    sizes = [3e9, 1.7e9, 4e8, 5e7, 3e4, 7e3, 11.0]
+    weights = {f"s{k}": n / 3.3e9 for k, n in enumerate(sizes)}  # the last ones far below 1/1000
+    total = sum(Fraction(w) for w in weights.values())
+    blocks = dict.fromkeys(weights, 60_000)
+    phases = mixing.schedule(blocks, weights)
+    slots = {s: mixing.slots_of(phases[s], np.arange(n)) for s, n in blocks.items()}
+    assert sorted(np.concatenate(list(slots.values())).tolist()) == list(range(sum(blocks.values())))
+    end = min(p.base_slot for v in phases.values() for p in v if p.base_slot)
+    assert end > 90_000
+    for s, found in slots.items():
+        share = Fraction(weights[s]) / total
+        inside = found[found < end].tolist()
+        for k, slot in enumerate(inside):  # before and after each of its slots
+            assert abs(k - share * slot) < 1 and abs(k + 1 - share * (slot + 1)) < 1
+        assert abs(len(inside) - share * end) < 1
+    assert len(mixing.schedule({"a": 5, "b": 5}, {"a": 1.0})["b"]) == 2  # no weight: still placed
