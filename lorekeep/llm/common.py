@@ -29,9 +29,9 @@ def use_python(spark: SparkSession) -> None:
 def row_key(doc_id: Column, text: Column) -> list[Column]:
     """``(k1, k2)``: names a row by its content, so that repeated ids with other texts stay apart.
 
-    Rows equal in both are repeats of one row.  Null ids are told apart by ``k2``.
+    Rows equal in both are repeats of one row.  Null ids are told apart by ``k2``, 64 bits of the text's digest.
     """
-    return [F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID)).alias("k1"), F.hash(text, doc_id.isNull()).alias("k2")]
+    return [F.coalesce(doc_id.cast("bigint"), F.lit(NO_ID)).alias("k1"), F.xxhash64(text, doc_id.isNull()).alias("k2")]
 
 
 def as_bytes(column: pa.Array) -> list[bytes]:

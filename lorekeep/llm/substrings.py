@@ -148,12 +148,12 @@ def runs_of(flags: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
 
 
 _MARKS = (
-    "k1 bigint, k2 int, a int, b int, mini bigint, range int, "
-    "windows array<binary>, k1s array<bigint>, k2s array<int>, places array<int>"
+    "k1 bigint, k2 bigint, a int, b int, mini bigint, range int, "
+    "windows array<binary>, k1s array<bigint>, k2s array<bigint>, places array<int>"
 )
 _KINDS = [
-    pa.int64(), pa.int32(), pa.int32(), pa.int32(), pa.int64(), pa.int32(),
-    pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int32()), pa.list_(pa.int32()),
+    pa.int64(), pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.int32(),
+    pa.list_(pa.binary()), pa.list_(pa.int64()), pa.list_(pa.int64()), pa.list_(pa.int32()),
 ]
 
 
@@ -235,7 +235,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
     texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
     found = stage(
         texts.mapInArrow(
-            _segment_batches(window, gram), "k1 bigint, k2 int, start int, starts int, mini bigint, dig bigint"
+            _segment_batches(window, gram), "k1 bigint, k2 bigint, start int, starts int, mini bigint, dig bigint"
         ),
         "segments",
     )
@@ -276,7 +276,7 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
     marks = stage(parts.groupBy("shard", "part").applyInArrow(_shard_marks(window), _MARKS), "suffix-marks")
     inside = marks.where("windows is null").select("k1", "k2", "a", "b")
     dealt_runs = marks.where("windows is not null").select("mini", "range", "windows", "k1s", "k2s", "places")
-    across = dealt_runs.groupBy("mini", "range").applyInArrow(_merge, "k1 bigint, k2 int, a int, b int")
+    across = dealt_runs.groupBy("mini", "range").applyInArrow(_merge, "k1 bigint, k2 bigint, a int, b int")
     runs = whole.union(inside).union(across).distinct()
     return runs.groupBy("k1", "k2").agg(F.collect_list(F.struct("a", "b")).alias("runs"))
 
