@@ -12,6 +12,7 @@ from lorekeep.llm.language import op3_language_id
 from lorekeep.llm.minhash import op7_minhash
 from lorekeep.llm.mixing import op6_mixing
 from lorekeep.llm.packing import op5_packing
+from lorekeep.llm.periods import op12_periodic_runs
 from lorekeep.llm.sharding import op13_kd_shards
 from lorekeep.llm.simhash import op9_simhash
 from lorekeep.llm.substrings import op2_suffix_dedup
@@ -29,6 +30,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_tree": op8_chat_tree,
     "op9_simhash": op9_simhash,
     "op10_cover_tree": op10_cover_tree,
+    "op12_periodic_runs": op12_periodic_runs,
     "op13_kd_shards": op13_kd_shards,
 }
 ORACLES: dict[str, str] = {
