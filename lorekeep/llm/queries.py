@@ -13,6 +13,7 @@ from lorekeep.llm.minhash import op7_minhash
 from lorekeep.llm.mixing import op6_mixing
 from lorekeep.llm.packing import op5_packing
 from lorekeep.llm.periods import op12_periodic_runs
+from lorekeep.llm.phrases import op11_phrases
 from lorekeep.llm.sharding import op13_kd_shards
 from lorekeep.llm.simhash import op9_simhash
 from lorekeep.llm.substrings import op2_suffix_dedup
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_chat_tree": op8_chat_tree,
     "op9_simhash": op9_simhash,
     "op10_cover_tree": op10_cover_tree,
+    "op11_phrases": op11_phrases,
     "op12_periodic_runs": op12_periodic_runs,
     "op13_kd_shards": op13_kd_shards,
 }
