@@ -1,15 +1,15 @@
 """Phrase collocations: word sequences that are much more frequent than their parts suggest.
 
-1.  Texts are lower-cased, cut into pieces at punctuation and line ends, and each word is a 64-bit value.  Prefix sums
-    of a polynomial over these values give the Rabin-Karp fingerprint of every ``k`` consecutive words at once.
-2.  Length by length, each batch of texts counts its fingerprints and the shuffle adds them up.  Fingerprints of ``least``
-    or more occurrences set a bit in a table of fixed size (``BITS``); a sequence is counted only where both sequences
-    of one word less have their bits set.  Bits shared by chance, and fingerprints shared by different
-    words, let more through and lose nothing.
+1.  Texts are lower-cased and cut into pieces at punctuation and line ends.  Prefix sums of a polynomial over the bytes
+    give each word's value, and such sums over these values the Rabin-Karp fingerprint of every ``k`` words at once.
+2.  Length by length, each batch of texts counts its fingerprints and the shuffle adds them up, ``COUNTED`` bits of
+    them, as these counts only sift.  Fingerprints of ``least`` or more occurrences set a bit in a table of fixed
+    size (``BITS``); a sequence is counted only where both sequences of one word less have their bits set.  Bits
+    shared by chance, and fingerprints shared by different words, let more through and lose nothing.
 3.  Verification: in each batch a fingerprint that passes points to its first occurrence; every other occurrence is
     compared with it word by word, and those that differ get a pointer of their own.  The words at the pointer, not
     the fingerprint, are what the second shuffle adds up, so counts are exact.  Text is written out only here,
-    once for each pointer.
+    once for each pointer, and a task adds up its batches before the shuffle.
 4.  Frequent sequences meet their parts, the lowest-scoring cut counts, and phrases that lie in a longer one with
     (nearly) the same count go.  It is enough to look one word longer: what lies between the two is no rarer than the longer.
 5.  Each language's best are ranked in two steps, first in slices of it.
@@ -39,7 +39,10 @@ LONGEST = 5
 TOP = 2000
 BITS = 1 << 26
 """Bits of one length's table; more fingerprints than this only let more sequences be counted."""
-BATCH = 8 << 20
+COUNTED = 40
+BATCH = 4 << 20
+HELD = 400_000
+"""Different phrases a task adds up before it hands them on."""
 SLICES = 256
 """Parts a language is ranked in before its best are ranked together."""
 
@@ -60,59 +63,77 @@ def _mixed(values: np.ndarray) -> np.ndarray:
     return values ^ (values >> np.uint64(31))
 
 
+_powers: list[np.ndarray] = [np.ones(1, np.uint64), np.ones(1, np.uint64)]
+_BYTE = _mixed(np.arange(1, 257, dtype=np.uint64) * _BASE)
+
+
+def _power_tables(size: int) -> tuple[np.ndarray, np.ndarray]:
+    """Powers of the base and of its inverse modulo 2**64, at least ``size`` of each."""
+    if len(_powers[0]) < size:
+        for k, base in enumerate((_BASE, _INVERSE)):
+            steps = np.full(size, base, np.uint64)
+            steps[0] = 1
+            _powers[k] = np.multiply.accumulate(steps)
+    return _powers[0], _powers[1]
+
+
+def _prefix_sums(values: np.ndarray) -> np.ndarray:
+    sums = np.zeros(len(values) + 1, np.uint64)
+    np.cumsum(values * _power_tables(len(values))[0][: len(values)], out=sums[1:])
+    return sums
+
+
 class Words:
-    """The words of a batch of texts: their number among the batch's different words, language, and words left in the piece."""
+    """The words of a batch of texts: their language, words left in the piece, and fingerprints of their sequences."""
 
     def __init__(self, texts: list[bytes], langs: list[str | None]):
-        data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
+        self._data = data = _LOWER[np.frombuffer(b"\n".join(texts) + b"\n", np.uint8)]
         gap = _IS_GAP[data]
-        edge = np.diff(np.concatenate(([1], gap.view(np.int8))))
-        begin, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
-        stop = stop[: len(begin)] if gap[0] else stop
+        edge = np.diff(np.concatenate((np.ones(1, np.int8), gap.view(np.int8))))
+        self._begin, self._stop = begin, stop = np.flatnonzero(edge == -1), np.flatnonzero(edge == 1)
         n = len(begin)
-        offsets = np.concatenate(([0], np.cumsum(stop - begin)))
-        letters = np.ascontiguousarray(data[~gap])
-        every = pa.Array.from_buffers(pa.large_binary(), n, [None, pa.py_buffer(offsets), pa.py_buffer(letters)])
-        coded = every.dictionary_encode()
-        self.different = coded.dictionary.to_pylist()
-        self.number = coded.indices.to_numpy()
         text_ends = np.cumsum(np.fromiter(map(len, texts), np.int64, len(texts)) + 1)
         names = pa.array(["und" if x is None else x for x in langs], pa.string()).dictionary_encode()
         self.langs = names.dictionary.to_pylist()
-        self.lang = names.indices.to_numpy()[np.searchsorted(text_ends, begin, "right")] if n else np.empty(0, np.int32)
-        ended = np.cumsum(_IS_END[data])
-        piece = ended[begin] if n else begin
-        last = np.ones(n, bool)
-        last[:-1] = piece[1:] != piece[:-1]
-        lasts = np.flatnonzero(last)
-        self.left = lasts[np.searchsorted(lasts, np.arange(n))] - np.arange(n) + 1
-        self._sum_up()
-
-    def _sum_up(self) -> None:
-        value = np.fromiter((xxhash.xxh64_intdigest(w, 11) for w in self.different), np.uint64, len(self.different))
-        n = len(self.number)
-        self._inverse = np.full(max(n, 1), _INVERSE, np.uint64)
-        power = np.full(max(n, 1), _BASE, np.uint64)
-        self._inverse[0] = power[0] = 1
-        self._inverse, power = np.multiply.accumulate(self._inverse), np.multiply.accumulate(power)
-        self._sums = np.zeros(n + 1, np.uint64)
-        np.cumsum(value[self.number] * power[:n], out=self._sums[1:])
+        words = np.diff(np.searchsorted(begin, text_ends), prepend=0)
+        self.lang = np.repeat(names.indices.to_numpy(), words)
+        ended = np.searchsorted(np.flatnonzero(_IS_END[data]), begin)
+        lasts = np.flatnonzero(np.concatenate((ended[1:] != ended[:-1], [True]))) if n else begin
+        self.left = np.repeat(lasts, np.diff(lasts, prepend=-1)) - np.arange(n) + 1
+        sums = _prefix_sums(_BYTE[data])
+        value = _mixed((sums[stop] - sums[begin]) * _power_tables(len(data))[1][begin])
+        self._sums = _prefix_sums(value)
         seeds = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 12) for x in self.langs), np.uint64, len(self.langs))
-        self._seed = seeds[self.lang] if n else np.empty(0, np.uint64)
+        self._seed = seeds[self.lang]
+
+    def number_words(self) -> None:
+        """Sets ``different``, the batch's different words, and ``number``, the place in it of each word."""
+        gap = _IS_GAP[self._data]
+        offsets = np.concatenate(([0], np.cumsum(self._stop - self._begin)))
+        letters = np.ascontiguousarray(self._data[~gap])
+        every = pa.Array.from_buffers(
+            pa.large_binary(), len(self._begin), [None, pa.py_buffer(offsets), pa.py_buffer(letters)]
+        )
+        coded = every.dictionary_encode()
+        self.different = coded.dictionary.to_pylist()
+        self.number = coded.indices.to_numpy()
 
     def fingerprints(self, k: int) -> np.ndarray:
         """Of the ``k`` words from each position, whether or not the piece holds as many."""
-        n = len(self.number) - k + 1
+        n = len(self.left) - k + 1
         if n <= 0:
             return np.empty(0, np.uint64)
-        return _mixed((self._sums[k:] - self._sums[:n]) * self._inverse[:n] + self._seed[:n])
+        return _mixed((self._sums[k:] - self._sums[:n]) * _power_tables(n)[1][:n] + self._seed[:n])
+
+    def frequent(self, k: int, shorter) -> np.ndarray:
+        """Positions of sequences of ``k`` words inside a piece whose parts of ``k - 1`` words may be frequent.
 
-    def frequent(self, k: int, tables: list[np.ndarray]) -> np.ndarray:
-        """Positions of sequences of ``k`` words inside a piece whose parts of ``k - 1`` words may be frequent."""
-        n = max(0, len(self.number) - k + 1)
+        ``shorter`` is the broadcast table of bits of these parts, None for single words.
+        """
+        n = max(0, len(self.left) - k + 1)
         inside = self.left[:n] >= k
         if k > 1:
-            part = has_bit(tables[k - 2], self.fingerprints(k - 1))
+            part = has_bit(shorter.value, self.fingerprints(k - 1))
             inside &= part[:n] & part[1 : n + 1]
         return np.flatnonzero(inside)
 
@@ -127,11 +148,12 @@ def _each(batches: Iterator[pa.RecordBatch]) -> Iterator[Words]:
         yield Words(as_bytes(batch.column("text")), batch.column("lang").to_pylist())
 
 
-def _count_batches(k: int, tables):
+def _count_batches(k: int, shorter):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for words in _each(batches):
-            at = words.frequent(k, tables.value)
-            prints, counts = np.unique(words.fingerprints(k)[at], return_counts=True)
+            at = words.frequent(k, shorter)
+            prints = words.fingerprints(k)[at] & np.uint64((1 << COUNTED) - 1)
+            prints, counts = np.unique(prints, return_counts=True)
             yield pa.RecordBatch.from_arrays([signed(prints), pa.array(counts, pa.int64())], names=["fp", "n"])
 
     return run
@@ -157,30 +179,37 @@ def pointers(words: Words, at: np.ndarray, prints: np.ndarray, k: int) -> tuple[
     return np.concatenate(heads), np.concatenate(counts)
 
 
+def _phrase_rows(counts: dict[tuple[str, int, bytes], int]) -> pa.RecordBatch:
+    lang, size, phrase = zip(*counts) if counts else ((), (), ())
+    columns = [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.binary()).cast(pa.string())]
+    return pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], names=["lang", "size", "phrase", "n"])
+
+
 def _phrase_batches(longest: int, tables):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: dict[tuple[str, int, bytes], int] = {}
+
+        def add(key: tuple[str, int, bytes], n: int) -> None:
+            counts[key] = counts.get(key, 0) + n
+
         for words in _each(batches):
-            lang, size, phrase, count = [], [], [], []
+            words.number_words()
             for x, n in enumerate(np.bincount(words.lang, minlength=len(words.langs)).tolist()):
-                lang.append(words.langs[x])
-                size.append(0)
-                phrase.append("")
-                count.append(n)
+                add((words.langs[x], 0, b""), n)
             for k in range(1, longest + 1):
-                at = words.frequent(k, tables.value)
+                at = words.frequent(k, tables[k - 2] if k > 1 else None)
                 prints = words.fingerprints(k)[at]
-                passed = has_bit(tables.value[k - 1], prints)
-                head, n = pointers(words, at[passed], prints[passed], k)
-                numbers = words.number
-                lang += [words.langs[x] for x in words.lang[head].tolist()]
-                size += [k] * len(head)
-                parts = np.stack([numbers[head + j] for j in range(k)], axis=1).tolist() if len(head) else []
-                phrase += [b" ".join([words.different[p] for p in row]).decode() for row in parts]
-                count += n.tolist()
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(lang, pa.string()), pa.array(size, pa.int32()), pa.array(phrase, pa.string()), pa.array(count, pa.int64())],
-                names=["lang", "size", "phrase", "n"],
-            )
+                passed = has_bit(tables[k - 1].value, prints)
+                head, count = pointers(words, at[passed], prints[passed], k)
+                if not len(head):
+                    break
+                parts = np.stack([words.number[head + j] for j in range(k)], axis=1).tolist()
+                for x, row, n in zip(words.lang[head].tolist(), parts, count.tolist()):
+                    add((words.langs[x], k, b" ".join([words.different[p] for p in row])), n)
+            if len(counts) > HELD:
+                yield _phrase_rows(counts)
+                counts.clear()
+        yield _phrase_rows(counts)
 
     return run
 
@@ -206,14 +235,12 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
     spark = docs.sparkSession
     use_python(spark)
     texts = docs.select(F.col("lang").cast("string").alias("lang"), F.col("text").cast("string").alias("text"))
-    tables: list[np.ndarray] = []
+    tables: list = []  # each table is sent once
     for k in range(1, longest + 1):
-        shared = spark.sparkContext.broadcast(tables)
-        counted = texts.mapInArrow(_count_batches(k, shared), "fp bigint, n bigint")
+        counted = texts.mapInArrow(_count_batches(k, tables[-1] if tables else None), "fp bigint, n bigint")
         counted = counted.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
-        tables = [*tables, _bit_table(counted, bits)]
-    shared = spark.sparkContext.broadcast(tables)
-    found = texts.mapInArrow(_phrase_batches(longest, shared), "lang string, size int, phrase string, n bigint")
+        tables.append(spark.sparkContext.broadcast(_bit_table(counted, bits)))
+    found = texts.mapInArrow(_phrase_batches(longest, tables), "lang string, size int, phrase string, n bigint")
     found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
     return stage(found.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
 

@@ -3,6 +3,7 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from types import SimpleNamespace
 
 import numpy as np
 import pytest
@@ -88,7 +89,8 @@ def test_colliding_fingerprints_are_told_apart(spark, monkeypatch):
     rng = random.Random(5)
     texts = [" ".join(rng.choice("abcdef") for _ in range(200)).encode() for _ in range(3)]
     words = phrases.Words(texts, ["x", "y", None])
-    at = words.frequent(2, [np.full(8, 255, np.uint8)])
+    words.number_words()
+    at = words.frequent(2, SimpleNamespace(value=np.full(8, 255, np.uint8)))
     head, count = phrases.pointers(words, at, words.fingerprints(2)[at], 2)
     got = {(words.langs[words.lang[h]], words.different[words.number[h]], words.different[words.number[h + 1]]): n for h, n in zip(head, count)}
     want = Counter()
