@@ -83,6 +83,16 @@ def _prefix_sums(values: np.ndarray) -> np.ndarray:
     return sums
 
 
+def byte_sums(data: np.ndarray) -> np.ndarray:
+    """Prefix sums of the polynomial over the bytes."""
+    return _prefix_sums(_BYTE[data])
+
+
+def between(sums: np.ndarray, begin: np.ndarray, stop: np.ndarray) -> np.ndarray:
+    """The hash of what lies between each ``begin`` and ``stop``."""
+    return _mixed((sums[stop] - sums[begin]) * _power_tables(len(sums))[1][begin])
+
+
 class Words:
     """The words of a batch of texts: their language, words left in the piece, and fingerprints of their sequences."""
 
@@ -100,9 +110,7 @@ class Words:
         ended = np.searchsorted(np.flatnonzero(_IS_END[data]), begin)
         lasts = np.flatnonzero(np.concatenate((ended[1:] != ended[:-1], [True]))) if n else begin
         self.left = np.repeat(lasts, np.diff(lasts, prepend=-1)) - np.arange(n) + 1
-        sums = _prefix_sums(_BYTE[data])
-        value = _mixed((sums[stop] - sums[begin]) * _power_tables(len(data))[1][begin])
-        self._sums = _prefix_sums(value)
+        self._sums = _prefix_sums(between(byte_sums(data), begin, stop))
         seeds = np.fromiter((xxhash.xxh64_intdigest(x.encode(), 12) for x in self.langs), np.uint64, len(self.langs))
         self._seed = seeds[self.lang]
 

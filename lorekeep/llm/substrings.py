@@ -31,6 +31,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorekeep.llm.common import as_bytes, read, row_key, signed, slices, use_python
 from lorekeep.llm.suffixes import Shard, common_prefixes, suffix_order
+from lorekeep.operators.first_wins import attach_per_key
 from lorekeep.session import stage
 
 WINDOW = 400
@@ -169,11 +170,6 @@ def _shard_marks(window: int):
     def run(key: tuple, rows: pa.Table) -> pa.Table:
         """Repeated starts of the shard as runs; of a dealt group also the sorted digests of its distinct windows."""
         part = key[1].as_py()
-        mini, digest = rows.column("mini").to_numpy(), rows.column("dig").to_numpy()
-        by = np.lexsort((digest, mini))
-        again = np.zeros(len(by), bool)  # the same segment, read from repeated rows
-        again[1:] = (mini[by][1:] == mini[by][:-1]) & (digest[by][1:] == digest[by][:-1])
-        rows = rows.take(pa.array(by[~again]))
         shard = Shard(rows.column("bytes").to_pylist())
         order = suffix_order(shard, window)
         order = order[shard.rest[order] >= window]
@@ -230,9 +226,14 @@ def _merge(key: tuple, rows: pa.Table) -> pa.Table:
 
 def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(k1, k2, runs)``: for each row key with repeated windows, the runs ``(a, b)`` of their start bytes."""
-    spark = docs.sparkSession
-    use_python(spark)
     texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
+    return keyed_runs(texts, window, gram, shard_bytes)
+
+
+def keyed_runs(texts: DataFrame, window: int, gram: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
+    """As ``repeated_runs``, for ``(k1, k2, text)`` with a text or binary ``text`` that ``k1, k2`` stand for; read twice."""
+    spark = texts.sparkSession
+    use_python(spark)
     found = stage(
         texts.mapInArrow(
             _segment_batches(window, gram), "k1 bigint, k2 bigint, start int, starts int, mini bigint, dig bigint"
@@ -241,10 +242,13 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
     )
     several = found.groupBy("mini").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("mini")
     several = stage(several, "repeated-grams")  # a join with shuffles of its own lets Spark split frequent ones
-    found = stage(found.join(several, "mini"), "shared-segments")
+    found = found.join(several, "mini").select("*", F.struct("mini", "dig").alias("segment"), F.monotonically_increasing_id().alias("seq"))
+    found = stage(found, "shared-segments")
     place = F.min(F.struct("k1", "k2", "start", "starts")).alias("o")
     distinct = stage(found.groupBy("mini", "dig").agg(F.count(F.lit(1)).alias("n"), place), "distinct-segments")
-    whole = found.join(distinct.where("n > 1").select("mini", "dig"), ["mini", "dig"])
+    # a very common segment is a hot key
+    repeats = distinct.where("n > 1").select(F.struct("mini", "dig").alias("segment"), "n", F.lit(True).alias("again"))
+    whole = attach_per_key(found, repeats, "segment").where("again")
     whole = whole.select("k1", "k2", F.col("start").alias("a"), (F.col("start") + F.col("starts") - 1).alias("b"))
 
     groups = distinct.groupBy("mini").agg(
@@ -265,7 +269,8 @@ def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard
         "wanted", lambda x: F.struct(x.alias("s"), body.substr(x["start"] + 1, x["starts"] + (window - 1)).alias("bytes"))
     )
     parts = texts.join(lists, ["k1", "k2"]).select("k1", "k2", F.explode(cut).alias("e"))
-    parts = parts.select("k1", "k2", "e.s.*", "e.bytes")
+    # repeated rows give the same segments; one of each goes on
+    parts = parts.select("k1", "k2", "e.s.*", "e.bytes").dropDuplicates(["mini", "dig"])
     dealt = F.col("parts") > 1
     parts = parts.withColumns(
         {
