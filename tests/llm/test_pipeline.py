@@ -2,7 +2,7 @@ from __future__ import annotations
 
 import corpus_pipeline
 from lorekeep.llm import packing
-from tests.llm import test_packing, test_simhash, test_substrings
+from tests.llm import test_nearcopies, test_packing, test_wordspans
 
 SF = "/root/testdata/sf0.001"
 
@@ -17,29 +17,19 @@ def pairs(df):
     return [(r["doc_id"], r["text"]) for r in df.collect()]
 
 
-def survivors(rows: list[tuple]) -> list[tuple]:
-    marked = test_simhash.expected(rows)
-    return sorted({(doc, text) for (doc, text), (_, _, component) in zip(rows, marked) if doc == component})
-
-
 def test_stages_against_brute_force(spark, folder):
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     first = stage(spark, folder, 0, docs)
     assert sorted(pairs(first)) == sorted(pairs(docs)) and first.columns == docs.columns
     second = stage(spark, folder, 1, first)
-    assert sorted(pairs(second)) == survivors(pairs(first)) and second.count() < first.count()
+    kept = test_nearcopies.survivors(pairs(first))
+    assert sorted(pairs(second)) == sorted(p for p in pairs(first) if p[0] in kept) and len(kept) < first.count()
     third = stage(spark, folder, 2, second)
     rows = pairs(second)
-    want = dict(zip((d for d, _ in rows), test_substrings.expected([t for _, t in rows], 400)))
+    want = dict(zip((d for d, _ in rows), test_wordspans.expected([t for _, t in rows], 50)))
     assert third.count() == second.count() and third.dtypes == docs.dtypes
-    before, cut = dict(rows), 0
-    for r in third.collect():
-        if want[r["doc_id"]][1] == 0:
-            assert r["text"] == before[r["doc_id"]]
-        else:
-            cut += 1
-            assert len(r["text"].encode()) <= want[r["doc_id"]][0] - want[r["doc_id"]][1]
-        assert r["n_chars"] == len(r["text"])
+    assert dict(pairs(third)) == want and want != dict(rows)
+    assert all(r["n_chars"] == len(r["text"]) for r in third.collect())
     fourth = stage(spark, folder, 3, third)
     assert sorted(pairs(fourth)) == sorted(pairs(third)) and fourth.columns == docs.columns
     fifth = corpus_pipeline.STAGES[4][1](spark, fourth, SF).collect()
