@@ -121,10 +121,11 @@ def segments(texts: list[bytes], window: int, gram: int) -> tuple[np.ndarray, ..
     return np.array(owners)[part], start, stop - begin, hashes[where[begin]], digests
 
 
-def _segment_batches(window: int, gram: int):
+def _segment_batches(window: int, gram: int, encode):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in slices(batches, "text", 2 * PIECE):
-            owner, start, starts, minimiser, digest = segments(as_bytes(batch.column("text")), window, gram)
+            texts = as_bytes(batch.column("text"))
+            owner, start, starts, minimiser, digest = segments(encode(texts) if encode else texts, window, gram)
             k1 = batch.column("k1").to_numpy()[owner]
             k2 = batch.column("k2").to_numpy()[owner]
             yield pa.RecordBatch.from_arrays(
@@ -227,16 +228,22 @@ def _merge(key: tuple, rows: pa.Table) -> pa.Table:
 def repeated_runs(docs: DataFrame, window: int = WINDOW, gram: int = GRAM, shard_bytes: int = SHARD_BYTES) -> DataFrame:
     """``(k1, k2, runs)``: for each row key with repeated windows, the runs ``(a, b)`` of their start bytes."""
     texts = docs.select(*row_key(F.col("doc_id"), F.col("text")), F.col("text").cast("string").alias("text"))
-    return keyed_runs(texts, window, gram, shard_bytes)
+    return keyed_runs(texts, texts, window, gram, shard_bytes)
 
 
-def keyed_runs(texts: DataFrame, window: int, gram: int, shard_bytes: int = SHARD_BYTES) -> DataFrame:
-    """As ``repeated_runs``, for ``(k1, k2, text)`` with a text or binary ``text`` that ``k1, k2`` stand for; read twice."""
+def keyed_runs(
+    texts: DataFrame, bodies: DataFrame, window: int, gram: int, shard_bytes: int = SHARD_BYTES, encode=None
+) -> DataFrame:
+    """As ``repeated_runs``, for ``(k1, k2, text)``.
+
+    With ``encode``, which turns a list of texts' bytes into other bytes, runs are those of the encoded texts, and
+    ``bodies`` holds these under the same keys; else it is ``texts``.
+    """
     spark = texts.sparkSession
     use_python(spark)
     found = stage(
         texts.mapInArrow(
-            _segment_batches(window, gram), "k1 bigint, k2 bigint, start int, starts int, mini bigint, dig bigint"
+            _segment_batches(window, gram, encode), "k1 bigint, k2 bigint, start int, starts int, mini bigint, dig bigint"
         ),
         "segments",
     )
@@ -268,7 +275,7 @@ def keyed_runs(texts: DataFrame, window: int, gram: int, shard_bytes: int = SHAR
     cut = F.transform(
         "wanted", lambda x: F.struct(x.alias("s"), body.substr(x["start"] + 1, x["starts"] + (window - 1)).alias("bytes"))
     )
-    parts = texts.join(lists, ["k1", "k2"]).select("k1", "k2", F.explode(cut).alias("e"))
+    parts = bodies.join(lists, ["k1", "k2"]).select("k1", "k2", F.explode(cut).alias("e"))
     # repeated rows give the same segments; one of each goes on
     parts = parts.select("k1", "k2", "e.s.*", "e.bytes").dropDuplicates(["mini", "dig"])
     dealt = F.col("parts") > 1
