@@ -5,6 +5,7 @@ from __future__ import annotations
 import re
 
 from pyspark.sql import Column, functions as F
+from pyspark.sql.types import ArrayType, VariantType
 
 from lorekeep import schemas as S
 
@@ -147,3 +148,15 @@ def contains_keyword(c: Column, word: str) -> Column:
     if len(pieces) == 1:
         return c.rlike("(?is)" + pieces[0])
     return c.rlike(r"(?is)\A" + "".join(f"(?>.*?{piece})" for piece in pieces))
+
+
+def holds_one_value(text: Column) -> Column:
+    """Whether ``text`` is one JSON value and nothing else.
+
+    It is read as the first element of an array that ends with its own digest.  A text cannot contain its digest, so
+    a bracket inside it that closes the array early leaves an array without it.
+    """
+    digest = F.sha2(text, 256)
+    both = F.from_json(F.concat(F.lit("["), text, F.lit(',"'), digest, F.lit('"]')), ArrayType(VariantType()))
+    last = F.try_variant_get(F.get(both, F.lit(1)), "$", "string")
+    return F.coalesce((F.size(both) == 2) & (last == digest), F.lit(False))

@@ -8,7 +8,7 @@ from dataclasses import dataclass
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, functions as F
-from pyspark.sql.types import ArrayType, StringType, StructType, VariantType
+from pyspark.sql.types import ArrayType, StringType, StructType
 
 import lorekeep
 from lorekeep import schemas as S
@@ -18,6 +18,7 @@ from lorekeep.functions.text import (
     WHITE_SPACE,
     clamp_confidence,
     first_non_blank,
+    holds_one_value,
     is_blank,
     nz,
     rfc3339,
@@ -97,9 +98,8 @@ def _checked(schema: StructType) -> StructType:
 
 def _parse(text: Column, schema: StructType) -> Column:
     """The one value of ``text``; null if there are more, or text beside it."""
-    alone = F.from_json(F.concat(F.lit("["), text, F.lit("]")), ArrayType(VariantType()))
     value = F.from_json(text, _checked(schema), {"columnNameOfCorruptRecord": "_corrupt"})
-    return F.when(F.size(alone) == 1, value)
+    return F.when(holds_one_value(text), value)
 
 
 def _kinds_hold(text: Column) -> Column:
@@ -211,6 +211,8 @@ def analyze_captures(
     provider: str = "rules",
     prompt: str | None = None,
     throttle_by: str | None = None,
+    keep_at: str | None = None,
+    slices: int = 1,
     as_of=None,
 ) -> tuple[DataFrame, DataFrame]:
     """The new insight table, and ``(id, status, error)`` per capture.
@@ -220,7 +222,8 @@ def analyze_captures(
     Status is ``cached`` where an insight exists, ``throttled`` where the recent ring of
     ``throttle_by`` refuses, else the result of the call: ``ok``, ``unavailable``, ``timeout``,
     ``error``, ``bad_envelope``, ``empty_output`` or ``bad_json``.  The answers are staged, so a lost
-    executor or a later step never repeats a finished call.
+    executor or a later step never repeats a finished call.  With ``keep_at``, a folder that names the run, they are kept
+    there in ``slices`` and a run that failed goes on where it stopped (see ``kept_answers``).
     """
     # The ids are compared first, so the texts of captures with an insight never move.
     todo = stage(unanalyzed(captures.select("id"), insights), "pending")
@@ -234,7 +237,7 @@ def analyze_captures(
             "id", F.lit("throttled").alias("status"), F.lit("").alias("error")
         )
         pending = pending.join(ring.where("accepted").select("id"), "id", "left_semi")
-    fresh, called = _called(captures, pending, extractor, model, provider, prompt)
+    fresh, called = _called(captures, pending, extractor, model, provider, prompt, keep_at, slices)
     report = called.unionByName(
         captures.select("id")
         .join(insights.select(F.col("capture_id").alias("id")), "id", "left_semi")
@@ -246,14 +249,25 @@ def analyze_captures(
 
 
 def _called(
-    captures: DataFrame, pending: DataFrame, extractor: Callable | None, model: str, provider: str, prompt: str | None
+    captures: DataFrame,
+    pending: DataFrame,
+    extractor: Callable | None,
+    model: str,
+    provider: str,
+    prompt: str | None,
+    keep_at: str | None = None,
+    slices: int = 1,
 ) -> tuple[DataFrame, DataFrame]:
     """One call per row of ``pending``: the insights it yields, and ``(id, status, error)``."""
     ship_package(captures.sparkSession, lorekeep)
     work = pending.select("id", "content", "content_type", "captured_at")
     if prompt is not None:
         work = work.withColumn("request_json", request_json(model, prompt))
-    answers = stage(work.mapInPandas(extractor or calls(rule_answer), CALL_RESULT), "answers")
+    extractor = extractor or calls(rule_answer)
+    if keep_at:
+        answers = kept_answers(work, extractor, keep_at, slices)
+    else:
+        answers = stage(work.mapInPandas(extractor, CALL_RESULT), "answers")
     parsed = parse_responses(answers.where(F.col("status") == "ok"))
     good = normalize_analysis(parsed.where(F.col("parse_error").isNull()))
     source = captures.select("id", F.col("source").alias("capture_source"))
@@ -272,6 +286,59 @@ def _called(
     return fresh, failed.unionByName(read)
 
 
+CRASHED = "crashed"
+
+
+def _guarded(extractor: Callable) -> Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]]:
+    """Keeps what an extractor answered before it broke down: the rows it had not answered are ``crashed``, those
+    after them are not asked."""
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            answered: set = set()
+            try:
+                for part in extractor(iter([batch])):
+                    answered.update(part["id"])
+                    yield part
+            except Exception as e:  # noqa: BLE001 - told by the driver once the answers are stored
+                left = [i for i in batch["id"] if i not in answered]
+                yield pd.DataFrame({"id": left, "status": CRASHED, "error": str(e), "body": ""})
+                return
+
+    return run
+
+
+def kept_answers(work: DataFrame, extractor: Callable, path: str, slices: int = 1) -> DataFrame:
+    """The extractor's answers to ``work``, kept under ``path`` so that no answered row is asked again.
+
+    Rows are asked in ``slices`` jobs, by id.  A slice is stored when it is done, so a lost executor repeats the calls of
+    its unfinished tasks alone, and a stopped run repeats at most one slice's.  An extractor that breaks down fails the
+    run once the slice's answers are stored.  A later call with the same ``path`` asks only for rows without an ``ok``
+    answer.  Small slices lose less, large ones keep more tasks busy.
+    """
+    spark = work.sparkSession
+    root = spark._jvm.org.apache.hadoop.fs.Path(path)
+    files = root.getFileSystem(spark._jsc.hadoopConfiguration())
+    kind = CALL_RESULT + ", attempt int, slice int"
+    earlier = [s.getPath().getName() for s in files.listStatus(root)] if files.exists(root) else []
+    attempts = [int(name.removeprefix("attempt=")) for name in earlier if name.startswith("attempt=")]
+    attempt = max(attempts, default=-1) + 1
+    todo = work
+    if attempts:
+        held = stage(spark.read.schema(kind).parquet(path).where("status = 'ok'").select("id"), "answered")
+        todo = work.join(held, "id", "left_anti")
+    for k in range(slices):
+        part = f"{path}/attempt={attempt}/slice={k}"
+        mine = todo.where(F.pmod(F.xxhash64("id"), F.lit(slices)) == k)
+        mine.mapInPandas(_guarded(extractor), CALL_RESULT).write.parquet(part)
+        broken = spark.read.schema(CALL_RESULT).parquet(part).where(F.col("status") == CRASHED).select("error").first()
+        if broken:
+            raise RuntimeError(f"the extractor broke down, its answers are kept under {path}: {broken['error']}")
+    answers = spark.read.schema(kind).parquet(path).join(work.select("id"), "id", "left_semi")
+    # a row without a good answer shows its latest failure; all rows were asked in the last attempt or answered before it
+    return answers.where((F.col("status") == "ok") | (F.col("attempt") == attempt)).select("id", "status", "error", "body")
+
+
 @dataclass(frozen=True)
 class AnalysisResult:
     """The new insight table, ``report(seq, id, status, error)`` per request, and ``rings(key, ring)`` to hand to
@@ -289,6 +356,8 @@ def analyze_requests(
     extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None,
     *,
     rings: DataFrame | None = None,
+    keep_at: str | None = None,
+    slices: int = 1,
     model: str = "",
     provider: str = "rules",
     prompt: str | None = None,
@@ -300,7 +369,7 @@ def analyze_requests(
     ``cached`` where the table has an insight; of the others, in ``seq`` order, those whose text is among the last
     three accepted are ``throttled``.  Each capture with an accepted request is called once.  Its first accepted
     request reports the result, a later one ``cached`` or the same failure.  ``rings`` are those an earlier batch
-    ended with.
+    ended with.  ``keep_at`` and ``slices`` as for :func:`analyze_captures`.
     """
     asked = requests.select("seq", "id")
     uses = asked.where(F.col("id").isNotNull()).groupBy("id").agg(F.count(F.lit(1)).alias("n"))
@@ -321,7 +390,7 @@ def analyze_requests(
     accepted = stage(decided.where("accepted").select("seq", "id"), "accepted")
     firsts = stage(first_per_key(accepted, "id"), "first-accepted")
     fresh, called = _called(
-        captures, captures.join(firsts.select("id"), "id", "left_semi"), extractor, model, provider, prompt
+        captures, captures.join(firsts.select("id"), "id", "left_semi"), extractor, model, provider, prompt, keep_at, slices
     )
     results = stage(called.join(firsts, "id"), "results")
     again = (F.col("seq") != F.col("first_seq")) & (F.col("status") == "ok")

@@ -9,7 +9,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from pyspark.sql.types import ArrayType
 
 from lorekeep import schemas as S
-from lorekeep.functions.text import WHITE_SPACE, lower_literal, utrim
+from lorekeep.functions.text import WHITE_SPACE, holds_one_value, lower_literal, utrim
 
 Reader = Callable[[SparkSession, str], DataFrame]
 
@@ -39,10 +39,9 @@ def read_json_lines(spark: SparkSession, path: str) -> DataFrame:
     """One JSON object per line.  Blank lines are skipped, a ``null`` line is an empty candidate, and a
     bad line fails the read."""
     line = utrim(F.col("value"))
-    # inside brackets a second value or trailing text is an error, or makes the array longer than one
-    values = F.from_json(F.concat(F.lit("["), line, F.lit("]")), ArrayType(S.CANDIDATE), FAIL_FAST)
-    several = F.raise_error(F.lit("a line of a JSON lines file holds more than one value"))
-    item = F.when(F.size(values) == 1, values[0]).otherwise(several.cast(S.CANDIDATE))
+    value = F.from_json(F.concat(F.lit("["), line, F.lit("]")), ArrayType(S.CANDIDATE), FAIL_FAST)[0]
+    several = F.raise_error(F.lit("malformed JSON lines file: a line holds more or less than one value"))
+    item = F.when(holds_one_value(line), value).otherwise(several.cast(S.CANDIDATE))
     return spark.read.text(path).where(line != "").select(item.alias("item")).select("item.*")
 
 
