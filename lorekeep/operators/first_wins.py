@@ -95,10 +95,11 @@ def next_id(stored: DataFrame | None, id_col: str = "id") -> int:
     return (top or 0) + 1
 
 
-def resolve_keys(keyed: DataFrame, stored: DataFrame | None, key: str) -> DataFrame:
+def resolve_keys(keyed: DataFrame, stored: DataFrame | None, key: str, top: int | None = None) -> DataFrame:
     """Per key of the valid requests: ``(key, first_seq, n, is_new, id)``.
 
-    ``id`` is the stored id, or the next dense id in ``first_seq`` order.  The stored keys are first
+    ``stored`` holds the stored keys and ids; if not all of them, but those of the batch at least, ``top`` is the
+    highest stored id.  ``id`` is the stored id, or the next dense id in ``first_seq`` order.  The stored keys are first
     reduced to those of the batch: the size of ``keyed`` is known, so a small batch is broadcast and the
     stored table is not shuffled for it.
     """
@@ -108,13 +109,14 @@ def resolve_keys(keyed: DataFrame, stored: DataFrame | None, key: str) -> DataFr
     else:
         held = stored.select(key, F.col("id").alias("stored_id"))
         firsts = firsts.join(held.join(firsts.select(key), key, "left_semi"), key, "left")
+    first = next_id(stored) if top is None else top + 1
     ranked = with_dense_rank(firsts, F.col("stored_id").isNotNull(), "first_seq", label="keys")
     return ranked.select(
         key,
         "first_seq",
         "n",
         F.col("stored_id").isNull().alias("is_new"),
-        F.coalesce(F.col("stored_id"), F.col("rank") + next_id(stored)).alias("id"),
+        F.coalesce(F.col("stored_id"), F.col("rank") + first).alias("id"),
     )
 
 

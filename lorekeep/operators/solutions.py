@@ -91,7 +91,30 @@ def append_created(stored: DataFrame | None, requests: DataFrame, resolved: Data
 
 
 def update_solutions(stored: DataFrame, updates: DataFrame, as_of=None) -> WriteResult:
-    """Overwrites title, problem, solution_text, status and tags, and recomputes the fingerprint.
+    """The whole table after :func:`planned_updates`, and the outcomes."""
+    accepted, report = planned_updates(stored, updates)
+    return WriteResult(apply_updates(stored, accepted, as_of), report)
+
+
+def apply_updates(rows: DataFrame, accepted: DataFrame, as_of=None) -> DataFrame:
+    """``rows`` (any part of the table) with the accepted updates of their ids."""
+    changed = F.col("u").isNotNull()
+    return rows.join(accepted, "id", "left").select(
+        *[
+            F.when(changed, F.col(f"u.{c}")).otherwise(F.col(c)).alias(c)
+            if c in ("title", "problem", "solution_text", "status", "tags", "dedup_key")
+            else F.when(changed, write_time(as_of)).otherwise(F.col(c)).alias(c)
+            if c == "updated_at"
+            else F.col(c)
+            for c in rows.columns
+        ]
+    )
+
+
+def planned_updates(stored: DataFrame, updates: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What to change, ``(id, u)`` with the new values, and one outcome ``(seq, outcome, id)`` per request.
+
+    Overwrites title, problem, solution_text, status and tags, and recomputes the fingerprint.
 
     Outcomes: ``updated``, ``duplicate`` (with the id that holds the fingerprint), ``not_found``,
     ``invalid``, ``superseded``.  The batch rule: a fingerprint held at the start of the batch by
@@ -133,17 +156,6 @@ def update_solutions(stored: DataFrame, updates: DataFrame, as_of=None) -> Write
         F.struct("title", "problem", "solution_text", "status", "tags", F.col("new_key").alias("dedup_key")).alias("u"),
     )
     accepted = stage(accepted, "updates")
-    changed = F.col("u").isNotNull()
-    table = stored.join(accepted, "id", "left").select(
-        *[
-            F.when(changed, F.col(f"u.{c}")).otherwise(F.col(c)).alias(c)
-            if c in ("title", "problem", "solution_text", "status", "tags", "dedup_key")
-            else F.when(changed, write_time(as_of)).otherwise(F.col(c)).alias(c)
-            if c == "updated_at"
-            else F.col(c)
-            for c in stored.columns
-        ]
-    )
 
     per_id = decided.select("id", "updates", F.col("seq").alias("last_seq"), "applied", "winner_id")
     verdict = (
@@ -157,7 +169,7 @@ def update_solutions(stored: DataFrame, updates: DataFrame, as_of=None) -> Write
     shown = F.when(F.col("outcome") == "duplicate", F.col("winner_id")).when(
         F.col("outcome").isin("updated", "superseded"), F.col("id")
     )
-    return WriteResult(table, report.select("seq", "outcome", shown.alias("id")))
+    return accepted, report.select("seq", "outcome", shown.alias("id"))
 
 
 def replace_tags(stored: DataFrame, changes: DataFrame) -> DataFrame:

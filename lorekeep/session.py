@@ -20,6 +20,8 @@ def build_session(name: str = "lorekeep", master: str | None = None, **conf: str
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",
+        # lists of keys and ids go into the scan whole
+        "spark.sql.parquet.pushdown.inFilterThreshold": "1000",
         "spark.sql.streaming.stateStore.providerClass": (
             "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
         ),

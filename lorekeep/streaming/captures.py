@@ -1,9 +1,10 @@
 """Continuous capture: exact deduplication against all history, with optional analysis and promotion.
 
 The stored captures are the deduplication state, so no streaming state grows without bound.  A
-micro-batch scans the stored hashes (one column) with its own hashes broadcast while they are few, and
+micro-batch looks its hashes up in an index beside the captures (``sources.keys``), which opens only the buckets they fall
+into, and takes the highest id from a one-row file: what it reads does not grow with history.  It
 appends one part per table, named by the batch id and computed only from earlier parts: a replayed
-batch writes the same parts again.  What became of each row, and of each analysis, is kept in parts too.
+batch writes the same parts again.  The root belongs to one stream; another one's batch is refused.  What became of each row, and of each analysis, is kept in parts too.
 """
 
 from __future__ import annotations
@@ -20,7 +21,10 @@ from lorekeep.operators.first_wins import outcomes, resolve_keys
 from lorekeep.operators.solutions import created_solutions, keyed_creates
 from lorekeep.plans.enrich import analyze_captures
 from lorekeep.plans.promote import promotion_requests
+from lorekeep.session import stage
+from lorekeep.sources.keys import KeyIndex
 from lorekeep.sources.tables import read_parts, write_part
+from lorekeep.streaming.runner import claim
 
 OUTCOME = StructType([StructField("seq", LongType()), StructField("outcome", StringType()), StructField("id", LongType())])
 REPORT = StructType([StructField("id", LongType()), StructField("status", StringType()), StructField("error", StringType())])
@@ -54,11 +58,30 @@ class CaptureSink:
         """``(id, status, error)`` per capture analysed."""
         return read_parts(spark, f"{self.root}/analyses", REPORT)
 
+    def _index(self, spark: SparkSession, table: str, key: str, batch_id: int) -> KeyIndex:
+        """The index of a table; one that is missing beside earlier parts is built from them."""
+        index = KeyIndex(f"{self.root}/{table}-keys", key)
+        if not index.exists(spark) and batch_id > 0:
+            held = read_parts(spark, f"{self.root}/{table}", S.CAPTURE if table == "captures" else S.SOLUTION, batch_id)
+            index.add(held.select(key, "id"), batch_id - 1, held.agg(F.max("id")).first()[0] or 0)
+        return index
+
+    def _resolved(self, keyed: DataFrame, table: str, key: str, batch_id: int) -> DataFrame:
+        """The batch's keys with their ids, staged; new ones enter the index."""
+        spark = keyed.sparkSession
+        index = self._index(spark, table, key, batch_id)
+        top = index.top(spark, batch_id)
+        keys = stage(keyed.where(F.col("reject").isNull()).select(key).distinct(), "batch-keys")
+        resolved = stage(resolve_keys(keyed, index.lookup(keys, batch_id), key, top), "resolved-keys")
+        fresh = resolved.where("is_new").select(key, "id")
+        index.add(fresh, batch_id, max(top, fresh.agg(F.max("id")).first()[0] or 0))
+        return resolved
+
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        stored = self.captures(spark, batch_id)
+        claim(spark, self.root)
         keyed = keyed_captures(batch)
-        resolved = resolve_keys(keyed, stored, "content_hash")
+        resolved = self._resolved(keyed, "captures", "content_hash", batch_id)
         told = S.conform(outcomes(keyed, resolved, "content_hash"), OUTCOME)
         write_part(told, f"{self.root}/outcomes", batch_id, sort=False)
         write_part(captured_rows(batch, resolved, self.as_of), f"{self.root}/captures", batch_id)
@@ -77,6 +100,6 @@ class CaptureSink:
         asked = part.select(F.col("id").alias("seq"), "id")
         requests = promotion_requests(part, insights, asked)
         keyed = keyed_creates(requests)
-        resolved = resolve_keys(keyed, self.solutions(spark, batch_id), "dedup_key")
+        resolved = self._resolved(keyed, "solutions", "dedup_key", batch_id)
         write_part(created_solutions(requests, resolved, self.as_of), f"{self.root}/solutions", batch_id)
 
