@@ -157,11 +157,12 @@ def upsert_insights(stored: DataFrame | None, rows: DataFrame, as_of=None) -> Da
 
 def delete_captures(captures: DataFrame, insights: DataFrame, ids: DataFrame) -> tuple[DataFrame, DataFrame]:
     """Both tables without the given ids; an unknown id is no error, and insights go with their capture."""
-    gone = ids.select("id").distinct()
-    return (
-        captures.join(gone, "id", "left_anti"),
-        insights.join(gone.withColumnRenamed("id", "capture_id"), "capture_id", "left_anti"),
-    )
+    return without_captures(captures, "id", ids), without_captures(insights, "capture_id", ids)
+
+
+def without_captures(rows: DataFrame, key: str, ids: DataFrame) -> DataFrame:
+    """``rows`` (any part of a table) without those whose ``key`` is among ``ids``."""
+    return rows.join(ids.select(F.col("id").alias(key)).distinct(), key, "left_anti")
 
 
 def clear_unanalyzed(captures: DataFrame, insights: DataFrame) -> tuple[DataFrame, DataFrame]:

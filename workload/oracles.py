@@ -583,6 +583,8 @@ def oracles() -> dict[str, str]:
         "from more_rows r left join more_caps n on n.content_hash = r.content_hash left join caps c on c.content_hash = r.content_hash "
         "union all select null, id, case " + " ".join(f"when content_type = '{k}' then '{v}'" for k, v in FAILURES.items()) + " end from every"
     )
+    for name in ("update_solutions_table", "delete_solutions_table", "delete_captures"):
+        found[name.removesuffix("_table") + "_ranges"] = found[name]
     found["import_json_array"] = found["import_jsonl"] = found["source_registry"]
     found["double_trigger_stream"] = found["double_trigger"]
     found["refused_presses_stream"] = (

@@ -15,6 +15,7 @@ from lorekeep.operators.recent_ring import recent_ring
 from lorekeep.plans import enrich, importing, promote
 from lorekeep.session import ship_package
 from lorekeep.sources import candidates as src, tables
+from lorekeep.sources.ranges import Change, RangeTables
 from lorekeep.streaming.captures import CaptureSink
 from lorekeep.streaming.events import DoubleTriggerSink, RecentRingSink
 from lorekeep.streaming.runner import run_available
@@ -582,6 +583,46 @@ def delete_captures(spark, sf_dir):
     )
 
 
+def _ranges(spark, sf_dir, **tables: DataFrame) -> RangeTables:
+    """The given tables, stored in id ranges of which a change touches a part."""
+    kinds = {"solutions": S.SOLUTION, "captures": S.CAPTURE, "insights": S.INSIGHT}
+    keys = {name: "capture_id" if name == "insights" else "id" for name in tables}
+    store = RangeTables(spark, fresh_path(spark, "ranges"), keys, {n: kinds[n] for n in tables}, rows_per_range=256)
+    for name, rows in tables.items():
+        store.create(name, rows)
+    return store
+
+
+@query
+def update_solutions_ranges(spark, sf_dir):
+    store = _ranges(spark, sf_dir, solutions=solutions(spark, sf_dir))
+    accepted, _ = D.planned_updates(store.read("solutions"), I.view(spark, sf_dir, I.UPDATES))
+    store.apply(Change("solutions", accepted.select("id"), lambda part: D.apply_updates(part, accepted, LATER)))
+    return _table(store.read("solutions"))
+
+
+@query
+def delete_solutions_ranges(spark, sf_dir):
+    store = _ranges(spark, sf_dir, solutions=solutions(spark, sf_dir))
+    gone = I.view(spark, sf_dir, DELETES)
+    store.apply(Change("solutions", gone.select("id"), lambda part: D.delete_solutions(part, gone).table))
+    return store.read("solutions").select("id", "dedup_key")
+
+
+@query
+def delete_captures_ranges(spark, sf_dir):
+    """Captures and their insights change together."""
+    store = _ranges(spark, sf_dir, captures=captures(spark, sf_dir), insights=insights(spark, sf_dir))
+    ids = I.view(spark, sf_dir, "select doc_id + 1 as id from {labels}")
+    store.apply(
+        Change("captures", ids, lambda part: C.without_captures(part, "id", ids)),
+        Change("insights", ids, lambda part: C.without_captures(part, "capture_id", ids)),
+    )
+    return store.read("captures").select(F.lit("capture").alias("kind"), "id").unionByName(
+        store.read("insights").select(F.lit("insight").alias("kind"), c("capture_id").alias("id"))
+    )
+
+
 @query
 def clear_unanalyzed(spark, sf_dir):
     kept, deleted = C.clear_unanalyzed(captures(spark, sf_dir), insights(spark, sf_dir))
