@@ -113,6 +113,12 @@ def _cases(block: pd.DataFrame, given: pd.DataFrame) -> pd.DataFrame:
     return pd.DataFrame(found, columns=["key", "_block", "_given", "_cases"])
 
 
+def _open_cases(block: pd.DataFrame) -> pd.DataFrame:
+    at = block["_block"].iloc[0]
+    found = [(key, at, json.dumps(case_tree(rows["hash"].tolist()))) for key, rows in _by_key(block)]
+    return pd.DataFrame(found, columns=["key", "_block", "_cases"])
+
+
 def _compose(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
     """Follows the blocks of each key; the rows come sorted by key and block."""
     last, ring = object(), []
@@ -142,27 +148,40 @@ class RingResult:
     rings: DataFrame
 
 
+def ring_blocks(rows: DataFrame, block_bits: int = BLOCK_BITS) -> DataFrame:
+    """The rows by key and ``seq`` with ``_row`` and ``_block``; to be written once, as another run may cut elsewhere."""
+    narrow = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").orderBy("key", "seq")
+    numbered = narrow.withColumn("_row", F.monotonically_increasing_id())
+    return numbered.withColumn("_block", F.shiftright("_row", block_bits))
+
+
+def open_cases(blocked: DataFrame) -> DataFrame:
+    """``(key, _block, _cases)``: the case tree of each key of each block, whatever ring the key comes with."""
+    ship_package(blocked.sparkSession, lorekeep)
+    return blocked.groupBy("_block").applyInPandas(_open_cases, "key string, _block bigint, _cases string")
+
+
+def decide_blocks(blocked: DataFrame, states: DataFrame, by: list[str]) -> DataFrame:
+    """The rows with ``accepted``, from the ring ``_start`` of each key of each block; ``by`` tells blocks apart."""
+    seq_type = blocked.schema["seq"].dataType.simpleString()
+    both = blocked.groupBy(*by).cogroup(states.groupBy(*by))
+    return both.applyInPandas(_flags, f"key string, seq {seq_type}, hash string, accepted boolean")
+
+
 def recent_ring(rows: DataFrame, block_bits: int = BLOCK_BITS, given: DataFrame | None = None) -> RingResult:
     """Decides every row of ``rows(key, seq, hash)``; ``seq`` is unique and ``given(key, ring)`` are the
     rings to start from (empty by default)."""
     spark = rows.sparkSession
     ship_package(spark, lorekeep)
-    seq_type = rows.schema["seq"].dataType.simpleString()
-    narrow = rows.select(F.col("key").cast("string").alias("key"), "seq", "hash").orderBy("key", "seq")
-    numbered = narrow.withColumn("_row", F.monotonically_increasing_id())
-    blocked = stage(numbered.withColumn("_block", F.shiftright("_row", block_bits)), "ring-rows")
+    blocked = stage(ring_blocks(rows, block_bits), "ring-rows")
     if given is None:
         given = spark.createDataFrame([], "key string, ring array<string>")
     mine = blocked.select("key", "_block").distinct().alias("b").join(
         given.alias("g"), F.col("b.key").eqNullSafe(F.col("g.key"))
     ).select(F.col("b.key").alias("key"), F.col("b._block").alias("_block"), "g.ring")
 
-    def per_block(other: DataFrame, fn, schema: str) -> DataFrame:
-        return blocked.groupBy("_block").cogroup(other.groupBy("_block")).applyInPandas(fn, schema)
-
-    cases = per_block(mine, _cases, _CASES)
+    cases = blocked.groupBy("_block").cogroup(mine.groupBy("_block")).applyInPandas(_cases, _CASES)
     states = stage(
         cases.repartition("key").sortWithinPartitions("key", "_block").mapInPandas(_compose, _STATES), "ring"
     )
-    flagged = per_block(states, _flags, f"key string, seq {seq_type}, hash string, accepted boolean")
-    return RingResult(flagged, states.groupBy("key").agg(F.max_by("_end", "_block").alias("ring")))
+    return RingResult(decide_blocks(blocked, states, ["_block"]), states.groupBy("key").agg(F.max_by("_end", "_block").alias("ring")))

@@ -151,15 +151,14 @@ def filter_tag_relational(stored: DataFrame, tag_rows: DataFrame, tag: str) -> D
 
 
 def search_or_exists(stored: DataFrame, tag_rows: DataFrame, query: str) -> DataFrame:
-    """The keyword search over child rows: texts match, or some tag row does."""
+    """The keyword search over child rows: texts match, or some tag row does.
+
+    Only ids meet; of ``stored`` the join moves the columns that are read from its result.
+    """
     word = keyword(query)
-    tagged = (
-        tag_rows.where(contains_keyword(F.col("tag"), word))
-        .select(F.col("solution_id").alias("id"), F.lit(True).alias("_tagged"))
-        .distinct()
-    )
-    match = has_keyword(word, "title", "problem", "solution_text") | F.col("_tagged").isNotNull()
-    return stored.join(tagged, "id", "left").where(match).select(*stored.columns)
+    told = stored.where(has_keyword(word, "title", "problem", "solution_text")).select("id")
+    tagged = tag_rows.where(contains_keyword(F.col("tag"), word)).select(F.col("solution_id").alias("id"))
+    return stored.join(told.union(tagged).distinct(), "id", "left_semi").select(*stored.columns)
 
 
 def tag_counts(stored: DataFrame) -> DataFrame:

@@ -42,9 +42,9 @@ def promote_captures(
     a capture in the same batch is a duplicate of its first promotion.
     """
     asked = requests.groupBy("id").agg(F.min("seq").alias("seq"), F.count(F.lit(1)).alias("n"))
-    done = create_solutions(
-        stored, promotion_requests(captures, insights, asked.select("seq", "id")), as_of
-    )
+    # read for the keys and for the new rows: captures and insights meet once
+    made = stage(promotion_requests(captures, insights, asked.select("seq", "id")), "promotion-requests")
+    done = create_solutions(stored, made, as_of)
     report = done.outcomes.select("seq", "outcome", F.col("id").alias("solution_id"))
     known = captures.select("id", F.lit(True).alias("known"))
     per_id = (

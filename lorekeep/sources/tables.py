@@ -44,9 +44,13 @@ def write_part(df: DataFrame, path: str, batch_id: int, *, sort: bool = True) ->
     (in_id_order(df) if sort else df).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
 
 
+def has_parts(spark: SparkSession, path: str) -> bool:
+    return any(name.startswith("batch_id=") for name in _list(spark, path))
+
+
 def read_parts(spark: SparkSession, path: str, schema: StructType, before: int | None = None) -> DataFrame:
     """All parts, or those of earlier batches; the filter prunes folders."""
-    if not any(name.startswith("batch_id=") for name in _list(spark, path)):
+    if not has_parts(spark, path):
         return spark.createDataFrame([], schema)
     full = StructType(list(schema.fields)).add("batch_id", LongType())
     rows = spark.read.schema(full).parquet(path)

@@ -2,12 +2,13 @@ from __future__ import annotations
 
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from lorekeep.operators.events import _blocked, at_micros, chord_held, double_chord, double_trigger, incomplete_events
 from lorekeep.operators.recent_ring import case_tree, follow, recent_ring, run_ring
-from lorekeep.streaming.events import DoubleTriggerSink, RecentRingSink
+from lorekeep.streaming.events import DoubleTriggerStream, RecentRingStream, follow_presses
 from tests import model
 
 
@@ -133,26 +134,54 @@ def cut(rows, parts):
     return [rows[i : i + size] for i in range(0, len(rows), size)]
 
 
-def test_streamed_rules_equal_the_batch_rules(spark, folder):
+def feed(folder, loads, run):
+    """Runs ``run`` on the stream of a folder after each load."""
+    for rows in loads:
+        rows.write.mode("append").parquet(f"{folder}/in")
+        run(rows.sparkSession.readStream.schema(rows.schema).parquet(f"{folder}/in"))
+
+
+def test_presses_of_a_user_across_batches():
+    rng = random.Random(11)
+    for _ in range(300):
+        at = sorted(rng.randint(0, 60) for _ in range(rng.randint(1, 30)))
+        cuts = sorted(rng.randint(0, len(at)) for _ in range(2))
+        last, waiting, got = None, False, []
+        for a, b in zip([0, *cuts], [*cuts, len(at)]):
+            late, fires, last, waiting = follow_presses(np.array(at[a:b], np.int64), last, waiting, 3)
+            assert not late.any()
+            got += [a + k for k in np.flatnonzero(fires)]
+        assert got == model.double_trigger([(x, k) for k, x in enumerate(at)], 3)
+
+
+def test_streamed_presses_equal_the_batch_rule(spark, folder):
     rows = sorted(make_events(random.Random(6), 120), key=lambda r: (r[1], r[2]))
-    sink = DoubleTriggerSink(f"{folder}/press", gap=4, block_bits=3)
-    for i, part in enumerate(cut(rows, 2)):
-        sink(frame(spark, part), i)
-    sink(frame(spark, part), i)  # a replayed batch changes nothing
-    assert fired(sink.firings(spark)) == fired(double_trigger(frame(spark, rows), 4))
-
-    late = [(rows[-1][0], -1000, 10_000, "c", "down"), (rows[-1][0], -999, 10_001, "c", "down")]
-    nowhere = [(None, 5, 10_002, "c", "down"), (rows[-1][0], None, 10_003, "c", "down")]
-    sink(frame(spark, late + nowhere), 2)
-    refused = {r["event_id"]: r["reason"] for r in sink.refused(spark).collect()}
+    hot = [(9, 1000 + 3 * i, 1000 + i, "c", "down") for i in range(400)]
+    rows += hot
+    stream = DoubleTriggerStream(f"{folder}/press", gap=4)
+    run = lambda df: stream.start(df).awaitTermination()
+    feed(folder, [frame(spark, part) for part in cut(rows, 2)], run)
+    assert fired(stream.firings(spark)) == fired(double_trigger(frame(spark, rows), 4))
+
+    late = [(9, -1000, 10_000, "c", "down"), (9, -999, 10_001, "c", "down")]
+    nowhere = [(None, 5, 10_002, "c", "down"), (9, None, 10_003, "c", "down")]
+    nameless = [(77, 1, None, "c", "down"), (77, 2, None, "c", "down")]
+    feed(folder, [frame(spark, late + nowhere + nameless)], run)
+    refused = {r["event_id"]: r["reason"] for r in stream.refused(spark).collect()}
     assert refused == {10_000: "late", 10_001: "late", 10_002: "incomplete", 10_003: "incomplete"}
-    assert fired(sink.firings(spark)) == fired(double_trigger(frame(spark, rows), 4))
-
-    rng = random.Random(7)
-    hashes = [(rng.choice("xy"), s, rng.choice("abcde")) for s in range(90)]
-    ring = RecentRingSink(f"{folder}/ring", block_bits=2)
-    for i, part in enumerate(cut(hashes, 2)):
-        ring(ring_rows(spark, part), i)
-    ring(ring_rows(spark, part), i)
-    order = lambda df: sorted(map(tuple, df.collect()))
+    extra = stream.firings(spark).where("event_id is null").collect()
+    assert [(r["user_id"], r["at_us"]) for r in extra] == [(77, 2)]
+    rest = stream.firings(spark).where("event_id is not null")
+    assert fired(rest) == fired(double_trigger(frame(spark, rows), 4))
+
+
+def test_streamed_ring_equals_the_batch_rule(spark, folder):
+    bits, rng = 2, random.Random(7)
+    hashes = [(rng.choice(["x", "y", None]), s, rng.choice(["a", "b", "c", "d", "e", None])) for s in range(90)]
+    hashes += [("hot", s, rng.choice("abcdef")) for s in range(90, 250)]
+    ring = RecentRingStream(f"{folder}/ring", block_bits=bits)
+    feed(folder, [ring_rows(spark, part) for part in cut(hashes, 2)], ring.run)
+    order = lambda df: sorted(map(str, df.collect()))
     assert order(ring.decisions(spark)) == order(recent_ring(ring_rows(spark, hashes)).rows)
+    trees = spark.read.parquet(f"{folder}/ring/cases")
+    assert trees.where("key = 'hot'").count() >= 160 >> bits  # a hot key's task sees blocks only

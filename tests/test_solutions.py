@@ -174,6 +174,16 @@ def test_relational_forms_agree(stored):
     for tag in ("red", "blue", "none"):
         assert sorted(ids(Q.filter_tag_relational(stored, rows, tag))) == sorted(ids(Q.filter_solutions(stored, Q.SolutionFilter(tag=tag))))
     assert sorted(ids(Q.search_or_exists(stored, rows, "alpha"))) == [1, 2, 4]
+
+
+def test_search_by_child_rows_moves_no_texts(spark):
+    stored = spark.range(50).selectExpr("id", "'t' as title", "'p' as problem", "concat('s', id) as solution_text")
+    rows = spark.createDataFrame([(7, "s1"), (8, "x")], "solution_id bigint, tag string")
+    found = Q.search_or_exists(stored, rows, "S1").select("id", "title")
+    assert sorted(ids(found)) == [1, 7, *range(10, 20)]
+    plan = found._jdf.queryExecution().optimizedPlan().toString()
+    left = plan[: plan.index("Aggregate")]
+    assert "LeftSemi" in left and "solution_text" not in left
     csvs = {r["id"]: r["tags_csv"] for r in D.tags_group_concat(rows, stored).collect()}
     assert csvs == {1: "red", 2: "blue,red", 3: "", 4: "alphabet"}
 

@@ -585,6 +585,7 @@ def oracles() -> dict[str, str]:
     )
     for name in ("update_solutions_table", "delete_solutions_table", "delete_captures"):
         found[name.removesuffix("_table") + "_ranges"] = found[name]
+    found["filter_tag_rows"] = found["filter_tag"]
     found["import_json_array"] = found["import_jsonl"] = found["source_registry"]
     found["double_trigger_stream"] = found["double_trigger"]
     found["refused_presses_stream"] = (

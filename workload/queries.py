@@ -17,7 +17,7 @@ from lorekeep.session import ship_package
 from lorekeep.sources import candidates as src, tables
 from lorekeep.sources.ranges import Change, RangeTables
 from lorekeep.streaming.captures import CaptureSink
-from lorekeep.streaming.events import DoubleTriggerSink, RecentRingSink
+from lorekeep.streaming.events import DoubleTriggerStream, RecentRingStream
 from lorekeep.streaming.runner import run_available
 import workload
 from workload import inputs as I
@@ -281,6 +281,12 @@ def conjunctive_filter(spark, sf_dir):
 
 @query
 def filter_tag(spark, sf_dir):
+    return _matches(spark, sf_dir, tag=" DE ")
+
+
+@query
+def filter_tag_rows(spark, sf_dir):
+    """The same filter over rows of a tag table, for tags kept apart from their solutions."""
     stored = solutions(spark, sf_dir)
     return Q.filter_tag_relational(stored, D.solution_tags(stored), " DE ").select("id", "title", "status")
 
@@ -796,10 +802,10 @@ def double_trigger_stream(spark, sf_dir):
     loads = [rows.where(c("at_us") < MIDDLE), rows.where(c("at_us") >= MIDDLE)]
 
     def run(rows: DataFrame, root: str) -> None:
-        run_available(rows, DoubleTriggerSink(root, GAP), f"{root}/checkpoint").awaitTermination()
+        DoubleTriggerStream(root, GAP).start(rows).awaitTermination()
 
     root = _two_loads(spark, "trigger", loads, run)
-    return DoubleTriggerSink(root).firings(spark)
+    return DoubleTriggerStream(root).firings(spark)
 
 
 @query
@@ -809,10 +815,10 @@ def refused_presses_stream(spark, sf_dir):
     later = F.coalesce(c("at_us") >= MIDDLE, F.lit(False))
 
     def run(rows: DataFrame, root: str) -> None:
-        run_available(rows, DoubleTriggerSink(root, GAP), f"{root}/checkpoint").awaitTermination()
+        DoubleTriggerStream(root, GAP).start(rows).awaitTermination()
 
     root = _two_loads(spark, "refused", [rows.where(later), rows.where(~later)], run)
-    return DoubleTriggerSink(root, GAP).refused(spark)
+    return DoubleTriggerStream(root, GAP).refused(spark)
 
 
 def _ring_rows(spark: SparkSession, sf_dir: str, sql: str) -> DataFrame:
@@ -830,7 +836,7 @@ def recent_ring_stream(spark, sf_dir):
     loads = [_ring_rows(spark, sf_dir, sql) for sql in (I.CAPTURES, I.MORE_CAPTURES)]
 
     def run(rows: DataFrame, root: str) -> None:
-        run_available(rows, RecentRingSink(root), f"{root}/checkpoint").awaitTermination()
+        RecentRingStream(root).run(rows)
 
     root = _two_loads(spark, "ring", loads, run)
-    return RecentRingSink(root).decisions(spark)
+    return RecentRingStream(root).decisions(spark)
