@@ -2,8 +2,9 @@
 
 The tree is built from the distinct shapes of the paths (digit runs become ``#``).  Going down from a host's
 root, a node with more than ``FANOUT`` different children keeps those that hold ``COMMON`` of its rows and turns
-all others into the wildcard ``*``; below ``DEPTH`` segments the rest is ``**``.  A path's segments, so
-generalised, are its template.  Rows that a rule judges are the labels.  Templates of a host that differ in a
+all others into the wildcard ``*``, down to the last segment.  A path's segments, so generalised, are its
+template.  A node of at most ``FANOUT`` shapes can keep all its segments at once, so the tree is built in as many
+rounds as there are levels with a larger node.  Rows that a rule judges are the labels.  Templates of a host that differ in a
 literal first segment are siblings; siblings with at least ``LABELLED`` labels whose share of blocked rows does
 not differ from the siblings' common share by a two-sided test are merged.  A template is rejected if its
 smoothed purity ``(blocked + 1) / (labelled + 2)`` reaches ``PURITY``, so a template without labels is allowed.
@@ -18,6 +19,8 @@ row for each row.  Extra columns are ignored.  An empty table gives an empty res
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from lorekeep.llm.common import read
@@ -31,7 +34,6 @@ RULES = (
     ("block", "net/es/"),
     ("block", "net/fr/"),
 )
-DEPTH = 4
 FANOUT = 16
 COMMON = 0.05
 LABELLED = 5
@@ -63,21 +65,29 @@ def template_tree(shapes: DataFrame) -> DataFrame:
     parts = F.split(F.regexp_replace("shape", "^/", ""), "/")
     tree = shapes.withColumn("parts", F.when(F.col("shape") != "", parts).otherwise(F.array().cast("array<string>")))
     tree = stage(tree.withColumn("template", F.lit("")), "url-tree")
-    for level in range(DEPTH):
-        segment = F.get("parts", F.lit(level))
-        if level == DEPTH - 1:
-            segment = F.when(F.size("parts") > DEPTH, "**").otherwise(segment)
-        here = tree.withColumn("segment", segment)
-        children = here.where("segment is not null").groupBy("host", "template", "segment").agg(F.sum("n").alias("_n"))
+    ended = F.size("parts") == 0
+    done, tree, level = [tree.where(ended)], tree.where(~ended), 0
+    while not tree.isEmpty():
+        here = tree.withColumn("segment", F.get("parts", F.lit(level)))
+        children = here.groupBy("host", "template", "segment").agg(F.sum("n").alias("_n"), F.count(F.lit(1)).alias("_shapes"))
         nodes = children.groupBy("host", "template").agg(F.sum("_n").alias("_all"), F.count(F.lit(1)).alias("_fan"))
         rare = (F.col("_fan") > FANOUT) & (F.col("_n") < F.col("_all") * COMMON)
         general = children.join(nodes, ["host", "template"]).select(
-            "host", "template", "segment", F.when(rare, "*").otherwise(F.col("segment")).alias("_to")
+            "host", "template", "segment", "_shapes", F.when(rare, "*").otherwise(F.col("segment")).alias("_to")
+        )
+        sizes = general.groupBy("host", "template", "_to").agg(F.sum("_shapes").alias("_size"))
+        general = general.drop("_shapes").join(sizes, ["host", "template", "_to"])
+        deeper = F.concat("template", F.lit("/"), "_to")
+        rest = F.array_join(F.slice("parts", level + 2, F.size("parts")), "/")
+        ended = F.size("parts") == level + 1
+        small = F.col("_size") <= FANOUT
+        joined = here.join(general, ["host", "template", "segment"]).withColumns(
+            {"template": F.when(small & ~ended, F.concat(deeper, F.lit("/"), rest)).otherwise(deeper), "_done": small | ended}
         )
-        deeper = F.concat("template", F.coalesce(F.concat(F.lit("/"), "_to"), F.lit("")))
-        joined = here.join(general, ["host", "template", "segment"], "left")
-        tree = stage(joined.withColumn("template", deeper).drop("segment", "_to"), "url-tree")
-    return tree.drop("parts")
+        tree = stage(joined.drop("segment", "_to", "_size"), "url-tree")
+        done.append(tree.where("_done").drop("_done"))
+        tree, level = tree.where("not _done").drop("_done"), level + 1
+    return reduce(DataFrame.union, [part.select(*done[0].columns) for part in done]).drop("parts")
 
 
 def template_purity(tree: DataFrame) -> DataFrame:
@@ -130,7 +140,7 @@ def op4_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def oracle(rules=RULES) -> str:
-    """The same result in DuckDB SQL: one pair of common tables for each level of the tree."""
+    """The same result in DuckDB SQL: the tree by recursion, level by level."""
     cases = {"rule": "null", "listed": "null"}
     for kind, text in sorted(rules, key=lambda r: len(r[1])):
         own, _, begin = text.partition("/")
@@ -150,25 +160,19 @@ def oracle(rules=RULES) -> str:
         """tree0 as (select *, case when shape <> '' then string_split(regexp_replace(shape, '^/', ''), '/')
             else [] end as parts, '' as template from shapes)""",
     ]
-    for level in range(DEPTH):
-        segment = f"parts[{level + 1}]"
-        if level == DEPTH - 1:
-            segment = f"case when len(parts) > {DEPTH} then '**' else {segment} end"
-        ctes += [
-            f"here{level} as (select *, {segment} as segment from tree{level})",
-            f"""kids{level} as (select host, template, segment, sum(n) as k from here{level}
-                where segment is not null group by all)""",
-            f"nodes{level} as (select host, template, sum(k) as total, count(*) as fan from kids{level} group by all)",
-            f"""general{level} as (select host, template, segment,
-                case when fan > {FANOUT} and k < total * cast({COMMON} as double) then '*' else segment end as goal
-                from kids{level} join nodes{level} using (host, template))""",
-            f"""tree{level + 1} as (select h.* exclude (template, segment),
-                h.template || coalesce('/' || goal, '') as template from here{level} h
-                left join general{level} using (host, template, segment))""",
-        ]
+    ctes.append(
+        f"""tree as (select *, 0 as level from tree0 union all
+            select host, shape, n, labelled, blocked, parts,
+                template || '/' || case when fan > {FANOUT} and k < total * cast({COMMON} as double) then '*' else segment end,
+                level + 1
+            from (select *, sum(n) over (partition by host, template, segment) as k,
+                    sum(n) over (partition by host, template) as total,
+                    count(distinct segment) over (partition by host, template) as fan
+                from (select *, parts[level + 1] as segment from tree where level < len(parts))))"""
+    )
     ctes += [
         f"""own as (select host, template, regexp_replace(template, '^/[^/*#]+', '/?') as family,
-            sum(blocked)::double as blocked, sum(labelled)::double as labelled from tree{DEPTH} group by all)""",
+            sum(blocked)::double as blocked, sum(labelled)::double as labelled from tree where level = len(parts) group by all)""",
         f"""common as (select host, family, sum(blocked) / sum(labelled) as share from own
             where labelled >= {LABELLED} group by all)""",
         f"""marked as (select own.*, coalesce(labelled >= {LABELLED} and abs(blocked / labelled - share)
@@ -177,9 +181,9 @@ def oracle(rules=RULES) -> str:
         "pooled as (select host, family, sum(blocked) as b, sum(labelled) as l from marked where alike group by all)",
         """purity as (select host, template, case when alike then (b + 1) / (l + 2)
             else (blocked + 1) / (labelled + 2) end as purity from marked left join pooled using (host, family))""",
-        f"placed as (select host, shape, template, purity from tree{DEPTH} join purity using (host, template))",
+        f"placed as (select host, shape, template, purity from tree join purity using (host, template) where level = len(parts))",
     ]
-    return f"""with {', '.join(ctes)}
+    return f"""with recursive {', '.join(ctes)}
         select page_id, host, path, rule,
             coalesce(listed, case when purity >= cast({PURITY} as double) then 'block' else 'allow' end) as verdict, template, purity
         from ruled join placed using (host, shape)"""

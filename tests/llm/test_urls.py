@@ -58,3 +58,40 @@ def test_repeated_and_null_ids(spark):
     df = spark.createDataFrame([(1, "http://a.com/x")] * 3 + [(None, "http://a.com/x")], "page_id bigint, url string")
     got = sorted((str(r["page_id"]), r["verdict"]) for r in urls.judge(df).collect())
     assert got == [("1", "allow")] * 3 + [("None", "allow")]
+
+
+def by_recursion(paths):
+    """Template of each distinct path of one host, node by node to the end."""
+    found = {}
+
+    def grow(node, template, level):
+        inner = [p for p in node if len(p) > level]
+        found.update({p: template for p in node if len(p) == level})
+        names = {p[level] for p in inner}
+        held = lambda name: [p for p in inner if p[level] == name]
+        to = {n: "*" if len(names) > urls.FANOUT and len(held(n)) < len(inner) * urls.COMMON else n for n in names}
+        for goal in set(to.values()):
+            grow([p for p in inner if to[p[level]] == goal], f"{template}/{goal}", level + 1)
+
+    grow(paths, "", 0)
+    return found
+
+
+def test_branches_below_many_segments(spark):
+    word = lambda k: "abcdefghijklmnopqrstuvwxyz"[k % 26] * (1 + k // 26)
+    deep = ["a", "b", "c", "d", "e", "f"]
+    paths = [(*deep, kind, word(k)) for kind in ("good", "bad") for k in range(40)]
+    paths += [(*deep, word(k), "x", "y", word(j)) for k in range(30) for j in range(2)]
+    paths += [(word(k), "p") for k in range(3)] + [("a",), ("a", "b"), (*deep, "bad")]
+    rules = (("block", "s.org/a/b/c/d/e/f/bad/"), ("allow", "s.org/a/b/c/d/e/f/good/a"))
+    got = judged(spark, ["http://s.org/" + "/".join(p) for p in paths], rules=rules)
+    expected = by_recursion(paths)
+    assert [r[5] for r in got] == [expected[p] for p in paths]
+    verdict = {r[2]: r[4] for r in got}
+    assert verdict["/a/b/c/d/e/f/bad/b"] == "block" and verdict["/a/b/c/d/e/f/good/b"] == "allow"
+
+
+def test_extra_columns_with_names_of_its_own(spark):
+    rows = [(1, "http://a.com/x", 5, "t", 9)]
+    df = spark.createDataFrame(rows, "page_id bigint, url string, n bigint, template string, seq bigint")
+    assert [tuple(r)[:3] for r in urls.judge(df).collect()] == [(1, "a.com", "/x")]
