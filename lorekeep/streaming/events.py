@@ -22,7 +22,7 @@ from lorekeep.operators.events import incomplete_events
 from lorekeep.operators.recent_ring import BLOCK_BITS, decide_blocks, follow, open_cases, ring_blocks
 from lorekeep.session import ship_package, stage
 from lorekeep.sources.tables import has_parts, read_parts, write_part
-from lorekeep.streaming.runner import run_available
+from lorekeep.streaming.runner import keyed_state, run_available
 
 
 def _fields(*pairs) -> StructType:
@@ -110,14 +110,15 @@ class DoubleTriggerStream:
         )
         judged = judged.withColumn("event_id", F.nullif("event_id", F.lit(NO_ID)))
         outcomes = judged.unionByName(incomplete_events(narrow).withColumn("outcome", F.lit("incomplete")))
-        return (
+        writer = (
             outcomes.writeStream.format("parquet")
             .option("path", f"{self.root}/outcomes")
             .option("checkpointLocation", f"{self.root}/checkpoint")
             .partitionBy("outcome")
             .trigger(availableNow=True)
-            .start()
         )
+        with keyed_state(presses.sparkSession):
+            return writer.start()
 
     def _outcomes(self, spark: SparkSession) -> DataFrame:
         return spark.read.schema(OUTCOME).parquet(f"{self.root}/outcomes")
@@ -175,7 +176,9 @@ class RecentRingStream:
         starts = named.groupBy("of").transformWithStateInPandas(
             _Ring(), "key string, batch_id bigint, block bigint, start array<string>", "Append", "None"
         )
-        run_available(starts, self._decide, f"{self.root}/rings").awaitTermination()
+        with keyed_state(spark):
+            query = run_available(starts, self._decide, f"{self.root}/rings")
+        query.awaitTermination()
 
     def _cut(self, batch: DataFrame, batch_id: int) -> None:
         path = f"{self.root}/blocks"
