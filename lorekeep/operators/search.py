@@ -6,7 +6,7 @@ import re
 from dataclasses import dataclass
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Observation, functions as F
 
 from lorekeep import schemas as S
 from lorekeep.functions.text import WHITE_SPACE, contains_keyword, keyword, lower_literal, nz
@@ -95,19 +95,30 @@ def newest_first(rows: DataFrame, changed: str, limit: object, offset: object) -
     return rows.orderBy(F.col(changed).desc(), F.col("id").desc()).offset(start).limit(size)
 
 
-def page_ids(matches: DataFrame, changed: str, limit: object, offset: object) -> list[int]:
-    """The ids of one page, at most 100 numbers.  ``matches`` needs only ``id`` and ``changed``.
+def page_ids(matches: DataFrame, changed: str, limit: object, offset: object) -> tuple[list[int], int]:
+    """The ids of one page, at most 100 numbers, and the number of all matches; ``matches`` needs ``id`` and ``changed``.
 
-    A deep page is taken by rank from a range-partitioned sort of these two columns; the result is the same.
+    The pass that finds the page counts the matches on its way.  A deep page is taken by rank from a range-partitioned
+    sort of these two columns, whose stored rows are counted; the result is the same.
     """
     narrow = matches.select("id", changed)
     size, start = page_bounds(limit, offset)
     if start > DEEP_OFFSET:
         ranked = with_dense_rank(narrow, F.col(changed).desc(), F.col("id").desc(), label="pages")
         page = ranked.where(F.col("rank").between(start, start + size - 1)).orderBy("rank")
-    else:
-        page = newest_first(narrow, changed, limit, offset)
-    return [row["id"] for row in page.collect()]
+        return [row["id"] for row in page.collect()], ranked.count()
+    seen = Observation()
+    page = newest_first(narrow.observe(seen, F.count(F.lit(1)).alias("total")), changed, limit, offset)
+    ids = [row["id"] for row in page.collect()]
+    if ids:
+        return ids, seen.get["total"]
+    # a plan known to be empty never runs, so nothing would be observed
+    return ids, narrow.count() if start else 0
+
+
+def _page_and_count(stored: DataFrame, f: SolutionFilter) -> tuple[DataFrame, int]:
+    ids, total = page_ids(filter_solutions(stored, f), "updated_at", f.limit, f.offset)
+    return newest_first(stored.where(F.col("id").isin(ids)), "updated_at", f.limit, 0), total
 
 
 def list_solutions(stored: DataFrame, f: SolutionFilter) -> DataFrame:
@@ -116,8 +127,7 @@ def list_solutions(stored: DataFrame, f: SolutionFilter) -> DataFrame:
     The page is found on the searched columns; its ids then go into the scan as a pushed-down filter, so
     the other columns are read only from the row groups that hold the page.
     """
-    ids = page_ids(filter_solutions(stored, f), "updated_at", f.limit, f.offset)
-    return newest_first(stored.where(F.col("id").isin(ids)), "updated_at", f.limit, 0)
+    return _page_and_count(stored, f)[0]
 
 
 def count_solutions(stored: DataFrame, f: SolutionFilter) -> DataFrame:
@@ -125,11 +135,12 @@ def count_solutions(stored: DataFrame, f: SolutionFilter) -> DataFrame:
 
 
 def page_with_total(stored: DataFrame, f: SolutionFilter) -> tuple[DataFrame, DataFrame]:
-    """The page, and one row ``(count, total)``; the total reads only the searched columns."""
-    page = list_solutions(stored, f)
+    """The page, and one row ``(count, total)``; one pass over the searched columns gives both."""
+    page, total = _page_and_count(stored, f)
     limit, offset = page_bounds(f.limit, f.offset)
-    on_page = F.greatest(F.lit(0), F.least(F.lit(limit), F.col("total") - F.lit(offset)))
-    return page, count_solutions(stored, f).select(on_page.alias("count"), "total")
+    on_page = max(0, min(limit, total - offset))
+    row = stored.sparkSession.range(1)
+    return page, row.select(F.lit(on_page).cast("bigint").alias("count"), F.lit(total).cast("bigint").alias("total"))
 
 
 def pager_info(total: DataFrame, page: int, size: int = S.CLIENT_PAGE_SIZE) -> DataFrame:

@@ -11,8 +11,7 @@ from lorekeep.functions.tags import concat_tags
 from lorekeep.functions.text import fallback_status, fallback_untrimmed
 from lorekeep.operators.first_wins import outcome_counts, outcomes, resolve_keys
 from lorekeep.operators.solutions import append_created, created_solutions, keyed_creates
-from lorekeep.session import stage
-from lorekeep.sources.candidates import DEFAULT_SOURCES, SourceRegistry, numbered
+from lorekeep.sources.candidates import DEFAULT_SOURCES, SourceRegistry
 
 
 @dataclass(frozen=True)
@@ -81,6 +80,6 @@ def import_path(
     **defaults,
 ) -> ImportResult:
     """Reads with the named source and imports.  The candidates are staged: text is parsed once and
-    ``seq`` cannot change."""
-    candidates = stage(numbered(sources.read(spark, adapter, path)), "candidates")
+    ``seq`` cannot change; it follows file names and places in the files."""
+    candidates = sources.read_numbered(spark, adapter, path)
     return import_candidates(candidates, stored, adapter=SourceRegistry.canonical(adapter), **defaults)

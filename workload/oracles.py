@@ -420,6 +420,14 @@ def oracles() -> dict[str, str]:
         "conjunctive_filter": stored_where(
             f"{searched(WORD)} and status = 'draft' and efficacy_source = 'auto' and list_contains(tags, 'fr')"
         ),
+        "search_trigrams": with_(STORED)
+        + " union all ".join(f"select '{w}' as asked, id from stored where {searched(w.lower())}" for w in W.INDEXED_WORDS),
+        "search_captures_trigrams": with_(INSIGHTS)
+        + " union all ".join(
+            f"select '{w}' as asked, c.id from caps c left join insights i on i.capture_id = c.id where "
+            + " or ".join(like(x, w.lower()) for x in ("c.content", "c.content_type", "i.summary", "i.category"))
+            for w in W.INDEXED_WORDS
+        ),
         "filter_tag": stored_where("list_contains(tags, 'de')"),
         "search_or_exists": stored_where(searched("es")),
         "search_captures": with_(INSIGHTS)
@@ -537,6 +545,17 @@ def oracles() -> dict[str, str]:
             requests("req", cand, status=" Failed", more_tags=IMPORT_TAGS), created("fresh", "req", None, LATER_S)
         )
         + f"select {TABLE_COLS} from fresh",
+        "import_path": with_(
+            requests(
+                "req",
+                "select * replace (row_number() over (order by cast(cast(floor(seq / 1000) as bigint) as varchar), seq) - 1 "
+                f"as seq) from ({cand})",
+                status=" Failed",
+                more_tags=IMPORT_TAGS,
+            ),
+            created("fresh", "req", None, LATER_S),
+        )
+        + outcome("req", "fresh", None),
         "analyze_captures": with_(INSIGHTS)
         + f", fresh as ({RULES_INSIGHTS('caps', 'where id not in (select capture_id from insights)')}) "
         + " union all ".join(f"select {INSIGHT_COLS}, {join('tags')} as tags, analyzed_s from {t}" for t in ("insights", "fresh")),

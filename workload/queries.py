@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import json
 from collections.abc import Callable
+from functools import reduce
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -16,6 +17,7 @@ from lorekeep.plans import enrich, importing, promote
 from lorekeep.session import ship_package
 from lorekeep.sources import candidates as src, tables
 from lorekeep.sources.ranges import Change, RangeTables
+from lorekeep.sources.trigrams import TrigramIndex
 from lorekeep.streaming.captures import CaptureSink
 from lorekeep.streaming.events import DoubleTriggerStream, RecentRingStream
 from lorekeep.streaming.runner import run_available
@@ -117,8 +119,8 @@ def normalize_analysis(spark, sf_dir):
 # --- sources and sinks
 
 
-def _json_files(spark: SparkSession, sf_dir: str, as_array: bool) -> str:
-    """The candidates as JSON files: lines, or one array per block of ``seq``."""
+def _json_files(spark: SparkSession, sf_dir: str, as_array: bool, mixed: bool = False) -> str:
+    """The candidates as JSON files: lines, or one array per block of ``seq``; every other block as lines if ``mixed``."""
     path = fresh_path(spark, "candidates-json")
     rows = I.view(spark, sf_dir, I.CANDIDATES)
     fields = F.struct(*S.CANDIDATE.names)
@@ -130,7 +132,10 @@ def _json_files(spark: SparkSession, sf_dir: str, as_array: bool) -> str:
     bounds = rows.groupBy("block").agg(F.min("seq").alias("low"), F.max("seq").alias("high"))
     opening = F.when(c("seq") == c("low"), "[").otherwise(",")
     closing = F.when(c("seq") == c("high"), "] trailing text").otherwise("")
-    lines = rows.join(bounds, "block").select("block", "seq", F.concat(opening, F.to_json(fields), closing).alias("value"))
+    value = F.concat(opening, F.to_json(fields), closing)
+    if mixed:
+        value = F.when(c("block") % 2 == 0, value).otherwise(F.to_json(fields))
+    lines = rows.join(bounds, "block").select("block", "seq", value.alias("value"))
     lines.repartition("block").sortWithinPartitions("block", "seq").drop("seq").write.partitionBy("block").text(path)
     return path
 
@@ -279,6 +284,39 @@ def conjunctive_filter(spark, sf_dir):
     return _matches(spark, sf_dir, query=WORD, status="draft", efficacy_source="auto", tag=" FR")
 
 
+INDEXED_WORDS = ("Tion L", "oument", "LE_s%ti", "es", "qzxj", "\u00e9ment \u00e9")
+
+
+@query
+def search_trigrams(spark, sf_dir):
+    """The keyword search through a trigram index, for frequent, rare, absent and short words and wildcards."""
+    stored = solutions(spark, sf_dir)
+    index = TrigramIndex(fresh_path(spark, "solution-grams"), ("title", "problem", "solution_text", "tags"))
+    index.add(stored)
+    found = [
+        Q.filter_solutions(index.narrowed(stored, word), Q.SolutionFilter(query=word)).select(F.lit(word).alias("asked"), "id")
+        for word in INDEXED_WORDS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
+@query
+def search_captures_trigrams(spark, sf_dir):
+    """Captures by their own text or their insight's, each through its index."""
+    stored, told = captures(spark, sf_dir), insights(spark, sf_dir)
+    own_index = TrigramIndex(fresh_path(spark, "capture-grams"), C.CAPTURE_TEXTS)
+    told_index = TrigramIndex(fresh_path(spark, "insight-grams"), C.INSIGHT_TEXTS, "capture_id")
+    own_index.add(stored)
+    told_index.add(told)
+    found = [
+        C.matching_captures(stored, told, Q.CaptureFilter(query=word), own_index, told_index).select(
+            F.lit(word).alias("asked"), "id"
+        )
+        for word in INDEXED_WORDS
+    ]
+    return reduce(DataFrame.unionByName, found)
+
+
 @query
 def filter_tag(spark, sf_dir):
     return _matches(spark, sf_dir, tag=" DE ")
@@ -661,6 +699,13 @@ def import_solutions(spark, sf_dir):
     return _table(done.table)
 
 
+@query
+def import_path(spark, sf_dir):
+    """Import from a folder of arrays and JSON lines, numbered by file name and place in the file."""
+    path = _json_files(spark, sf_dir, True, mixed=True)
+    return importing.import_path(spark, path, default_status=" Failed", default_tags=DEFAULT_TAGS, as_of=LATER).outcomes
+
+
 def _insight_table(rows: DataFrame) -> DataFrame:
     return rows.select(
         *[n for n in S.INSIGHT.names if n not in ("tags", "raw_json", "analyzed_at")],
