@@ -5,11 +5,13 @@ byte n-grams, predicts that bit; decoding takes the language whose codeword has
 loss over all bits, each bit weighted by how reliably its classifier gets that language right.  A text
 whose best and second-best language are nearly as close is flagged as ambiguous.
 
-The classifiers are fitted on the driver from at most ``SAMPLE_ROWS`` labelled rows, spread evenly over the
-at most ``MAX_LANGUAGES`` most frequent languages; the prediction reads every whole text.
+The classifiers are fitted on the driver from a sample of labelled rows that is spread evenly over all languages:
+``SAMPLE_ROWS`` in all, or ``LANGUAGE_ROWS`` a language where that is more; copies of one text count once.  The driver holds
+these rows and, with more rows than features, one matrix of ``FEATURES`` squared.  The prediction reads every whole text.
 
 Rows and edge cases: a null text, an empty one and one without a letter are ``und`` with score 0; so is every
-text if no language could be learned.  With one learned language every other text gets it.  Null or unseen
+text if no language could be learned (as from an empty table).  An empty table gives an empty result and very long
+texts are hashed in pieces.  With one learned language every other text gets it.  Null or unseen
 values of ``lang`` change nothing, and neither do extra columns.  Repeated rows get the same result.
 """
 
@@ -27,7 +29,10 @@ from lorekeep.llm.common import as_bytes, read, slices, use_python
 
 FEATURES = 2048
 SAMPLE_ROWS = 2000
-MAX_LANGUAGES = 64
+LANGUAGE_ROWS = 31
+"""Rows of each language beyond ``SAMPLE_ROWS / LANGUAGE_ROWS`` languages."""
+LOSS_CELLS = 1 << 22
+"""Rows x languages x bits compared at once."""
 RIDGE = 0.3
 AMBIGUOUS = 0.02
 """Least gap of the two best languages' mean losses."""
@@ -108,13 +113,17 @@ class Model:
 
 
 def losses(outputs: np.ndarray, code: np.ndarray, trust: np.ndarray) -> np.ndarray:
-    """Weighted hinge loss of each row against each codeword."""
-    margin = outputs[:, None, :] * code[None, :, :]
-    return (np.maximum(0, 1 - margin) * trust[None]).sum(axis=2)
+    """Weighted hinge loss of each row against each codeword, some rows at a time."""
+    step = max(1, LOSS_CELLS // max(1, code.size))
+    found = [
+        (np.maximum(0, 1 - part[:, None, :] * code[None]) * trust[None]).sum(axis=2)
+        for part in (outputs[at : at + step] for at in range(0, len(outputs), step))
+    ]
+    return np.concatenate(found) if found else np.zeros((0, len(code)))
 
 
 def fit(texts: np.ndarray, labels: list[str]) -> Model:
-    """Fits one ridge regression per bit on the rows' feature vectors, in the dual form."""
+    """Fits one ridge regression per bit on the rows' feature vectors, in the form with the smaller matrix."""
     languages = sorted(set(labels))
     count = len(languages)
     if count < 2:
@@ -125,8 +134,10 @@ def fit(texts: np.ndarray, labels: list[str]) -> Model:
     weight = 1 / np.bincount(index)[index]  # languages count alike
     weight = np.sqrt(weight / weight.mean())[:, None]
     x = np.concatenate((texts, np.ones((len(texts), 1), np.float32)), axis=1) * weight
-    gram = x @ x.T + RIDGE * np.eye(len(x))
-    full = x.T @ np.linalg.solve(gram, target * weight)
+    if len(x) <= x.shape[1]:
+        full = x.T @ np.linalg.solve(x @ x.T + RIDGE * np.eye(len(x)), target * weight)
+    else:
+        full = np.linalg.solve(x.T @ x + RIDGE * np.eye(x.shape[1]), x.T @ (target * weight))
     weights, bias = full[:-1].astype(np.float32), full[-1]
     right = np.sign(texts @ weights + bias) == target
     trust = np.stack([right[index == k].mean(axis=0) for k in range(count)]) + 1e-6
@@ -142,21 +153,23 @@ def _features(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         )
 
 
-def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS, max_languages: int = MAX_LANGUAGES) -> Model:
-    """Fits on a bounded sample of ``labelled`` (columns ``text``, ``lang``), the same for the same rows."""
+def train(labelled: DataFrame, sample_rows: int = SAMPLE_ROWS) -> Model:
+    """Fits on a bounded sample of ``labelled`` (columns ``text``, ``lang``), the same for the same rows.
+
+    Each language's rows are taken by a hash of their text, so copies fall in or out together.
+    """
     use_python(labelled.sparkSession)
     rows = labelled.select("text", "lang").where(F.col("lang").isNotNull() & has_letter(F.col("text")))
-    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "lang").limit(max_languages)
-    sizes = {r["lang"]: r["n"] for r in counts.collect()}
+    counts = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n"))
+    sizes = {r["lang"]: r["n"] for r in counts.collect()}  # one row a language
     if not sizes:
         return fit(np.zeros((0, FEATURES), np.float32), [])
-    share = sample_rows // len(sizes)
+    most = max(sample_rows, LANGUAGE_ROWS * len(sizes))
     place = F.pmod(F.xxhash64("text"), F.lit(1 << 30)) / float(1 << 30)
-    odds = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, share / n))])
+    odds = F.create_map(*[F.lit(x) for k, n in sorted(sizes.items()) for x in (k, min(1.0, most // len(sizes) / n))])
     picked = rows.withColumn("pick", place / odds[F.col("lang")]).where("pick < 1")
-    # copies of one text fall in or out together: the order and the limit keep the sample bounded
-    near = picked.mapInArrow(_features, "lang string, pick double, vector binary").orderBy("pick", "vector", "lang")
-    sample = near.limit(sample_rows).toArrow()
+    near = picked.mapInArrow(_features, "lang string, pick double, vector binary").distinct()
+    sample = near.orderBy("pick", "vector", "lang").limit(most).toArrow()
     vectors = [np.frombuffer(v, np.float16) for v in sample.column("vector").to_pylist()]
     return fit(np.array(vectors, np.float32).reshape(-1, FEATURES), sample.column("lang").to_pylist())
 

@@ -30,7 +30,8 @@ BITS = 4
 WORDS = 5
 RANGE_BYTES = 32 << 20
 """Text in one range of ids."""
-MAX_RANGES = 10_000
+POINT_RANGES = 10_000
+"""Up to this many ranges their first ids go into the scan as a filter; more are joined, 16 bytes a range."""
 EMPTY = np.uint64(0xFFFFFFFFFFFFFFFF)
 _SHINGLE = _mixed(np.arange(101, 101 + WORDS, dtype=np.uint64)) | np.uint64(1)
 
@@ -169,7 +170,7 @@ def compare_with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
         F.col("text").cast("string").alias("text"),
     )
     total = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
-    ranges = max(1, min(MAX_RANGES, -(-total // range_bytes)))
+    ranges = max(1, -(-total // range_bytes))
     cuts = []
     if ranges > 1:
         shares = [k / ranges for k in range(1, ranges)]
@@ -180,7 +181,10 @@ def compare_with_next(docs: DataFrame, range_bytes: int = RANGE_BYTES) -> DataFr
     firsts = firsts.orderBy("place").collect()  # one row a range
     before = {r["at"]: firsts[k - 1]["place"] for k, r in enumerate(firsts)}
     lent = rows.limit(0).withColumn("place", F.lit(0).cast("bigint"))
-    if before:
+    if len(before) > POINT_RANGES:
+        pairs = spark.createDataFrame(list(before.items()), "at bigint, lent_to bigint")
+        lent = rows.join(F.broadcast(pairs), "at").select(*rows.columns, F.col("lent_to").alias("place"))
+    elif before:
         # the first document of a repeated id is the least in the same order as below
         least = rows.where(_in(F.col("at"), F.col("doc_id"), list(before)))
         to = F.create_map(*[F.lit(x) for pair in before.items() for x in pair])

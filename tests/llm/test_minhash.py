@@ -47,8 +47,9 @@ def test_query_against_exact_likeness(spark):
     check(rows, QUERIES["op7_minhash"](spark, SF).collect(), 0.3)
 
 
-@pytest.mark.parametrize("range_bytes", [1 << 20, 2000])
-def test_edge_rows_across_ranges(spark, range_bytes):
+@pytest.mark.parametrize("range_bytes, points", [(1 << 20, 10_000), (2000, 10_000), (2000, 1)])
+def test_edge_rows_across_ranges(spark, monkeypatch, range_bytes, points):
+    monkeypatch.setattr(minhash, "POINT_RANGES", points)
     rng = random.Random(3)
     text = lambda n: " ".join(rng.choice(["alpha", "Über", "x", "omega", "𝛼β"]) + str(rng.randrange(50)) for _ in range(n))
     rows = [(None, text(30)), (-5, None), (0, ""), (1, "  \n"), (2, "ab"), (3, "abc d"), (4, text(4))]
