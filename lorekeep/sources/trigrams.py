@@ -10,26 +10,33 @@ to the table's scan as a filter; the exact pattern decides.  The index only ever
 changed by adding their new texts as a part, and rows that are gone need no change.  A word without
 three literal characters in sequence, or whose grams still name more than ``POINT_IDS`` rows, is searched by the scan.
 
+Grams are listed in Arrow batches by numpy, as three code points in one number: on 25 MB of texts a regular expression that
+lists them in the JVM took 13.0 s in place of 7.0 (four tasks, index written).
+
 A null text has no grams, a null id is never named (the scan would give such rows; stored tables have none).
 """
 
 from __future__ import annotations
 
 import re
+from collections.abc import Iterator
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+import numpy as np
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession, functions as F
 
+import lorekeep
 from lorekeep.functions.text import alower, keyword
+from lorekeep.session import ship_package
 
 POINT_IDS = 1000
 """Up to this many candidate ids go into the scan as a filter; beyond, all texts are scanned."""
 RAREST = 4
 """Grams of a word that are looked up."""
-PIECE_CHARS = 1 << 16
-SPAN_CHARS = 1 << 10
-"""Texts are cut into pieces and these into spans, each overlapping by two, before grams are listed: finding the start of a
-piece costs its distance from the text's, and each match of a pattern a copy of what it is matched in."""
+PIECE_CHARS = 1 << 20
+"""Characters listed at once; a longer text is cut into pieces that overlap by two."""
+STORED = "gram bigint, block bigint, ids bigint"
 
 
 def word_grams(word: str) -> list[str]:
@@ -37,18 +44,44 @@ def word_grams(word: str) -> list[str]:
     return sorted({run[i : i + 3] for run in re.split("[%_]", word) for i in range(len(run) - 2)})
 
 
-def _cut(text: Column, size: int) -> Column:
-    last = F.floor((F.char_length(text) - 1) / size).cast("int")
-    part = lambda i: F.substr(text, i * size + 1, F.lit(size + 2))
-    return F.transform(F.sequence(F.lit(0), F.greatest(F.lit(0), last)), part)
-
-
-def _spans(text: Column) -> Column:
-    return F.flatten(F.transform(_cut(text, PIECE_CHARS), lambda piece: _cut(piece, SPAN_CHARS)))
-
-
-def _grams(text: Column) -> Column:
-    return F.array_distinct(F.regexp_extract_all(text, F.lit("(?s)(?=(...))"), F.lit(1)))
+def _code(gram: str) -> int:
+    return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
+
+
+def _postings(ids: list[int], texts: list[str]) -> pa.RecordBatch:
+    """One row for each gram and block among ``texts``."""
+    chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
+    row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
+    at = np.flatnonzero(row[:-2] == row[2:])
+    gram = chars[at] << 42 | chars[at + 1] << 21 | chars[at + 2]
+    own = np.array(ids, np.int64)[row[at]]
+    order = np.lexsort((own, gram))
+    gram, own = gram[order], own[order]
+    block = own >> 6
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(fresh)
+    bits = np.left_shift(np.uint64(1), (own & 63).astype(np.uint64)).view(np.int64)
+    ids_of = np.bitwise_or.reduceat(bits, first) if len(first) else bits
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in (gram[first], block[first], ids_of)], names=["gram", "block", "ids"])
+
+
+def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids: list[int] = []
+    texts: list[str] = []
+    size = 0
+    for batch in batches:
+        for own, raw in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
+            text = raw.decode("utf-8", "replace")
+            for at in range(0, len(text), PIECE_CHARS):
+                ids.append(own)
+                texts.append(text[at : at + PIECE_CHARS + 2])
+                size += len(texts[-1])
+                if size >= PIECE_CHARS:
+                    yield _postings(ids, texts)
+                    ids, texts, size = [], [], 0
+    if texts:
+        yield _postings(ids, texts)
 
 
 @dataclass(frozen=True)
@@ -62,32 +95,28 @@ class TrigramIndex:
     def add(self, rows: DataFrame, part: int = 0) -> None:
         """Stores the grams of ``rows`` as part ``part``; a part written again replaces itself."""
         spark = rows.sparkSession
+        ship_package(spark, lorekeep)
         text = alower(F.concat_ws("\n", *self.texts))
-        key = rows.where(F.col(self.id).isNotNull()).select(self.id, text.alias("text")).select(
-            F.floor(F.col(self.id) / 64).cast("bigint").alias("block"),
-            F.expr(f"shiftleft(1L, cast(pmod(`{self.id}`, 64) as int))").alias("bit"),
-            F.explode(_spans(F.col("text"))).alias("span"),
-        )
-        found = key.select("block", "bit", F.explode(_grams(F.col("span"))).alias("gram"))
+        key = rows.where(F.col(self.id).isNotNull()).select(F.col(self.id).cast("bigint").alias("id"), text.alias("text"))
         # rows lie in id order, so a task adds most of a block's rows up before the shuffle
-        found = found.groupBy("gram", "block").agg(F.bit_or("bit").alias("ids"))
+        found = key.mapInArrow(_list_grams, STORED).groupBy("gram", "block").agg(F.bit_or("ids").alias("ids"))
         ordered = found.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
         ordered.write.mode("overwrite").parquet(f"{self.path}/postings/part={part}")
-        stored = spark.read.schema("gram string, block bigint, ids bigint").parquet(f"{self.path}/postings/part={part}")
+        stored = spark.read.schema(STORED).parquet(f"{self.path}/postings/part={part}")
         counts = stored.groupBy("gram").agg(F.sum(F.bit_count("ids")).alias("n"))
         counts.orderBy("gram").write.mode("overwrite").parquet(f"{self.path}/counts/part={part}")
 
     def ids(self, spark: SparkSession, query: str) -> list[int] | None:
         """At most ``POINT_IDS`` ids that hold all matches of ``query``; None where the texts must be scanned."""
-        grams = word_grams(keyword(query))
+        grams = [_code(g) for g in word_grams(keyword(query))]
         if not grams:
             return None
-        counts = spark.read.schema("gram string, n bigint").parquet(f"{self.path}/counts").where(F.col("gram").isin(grams))
+        counts = spark.read.schema("gram bigint, n bigint").parquet(f"{self.path}/counts").where(F.col("gram").isin(grams))
         sizes = {r["gram"]: r["n"] for r in counts.groupBy("gram").agg(F.sum("n").alias("n")).collect()}
         if len(sizes) < len(grams):
             return []
         chosen = sorted(grams, key=lambda g: (sizes[g], g))[:RAREST]
-        postings = spark.read.schema("gram string, block bigint, ids bigint").parquet(f"{self.path}/postings")
+        postings = spark.read.schema(STORED).parquet(f"{self.path}/postings")
         postings = postings.where(F.col("gram").isin(chosen)).groupBy("gram", "block").agg(F.bit_or("ids").alias("ids"))
         both = postings.groupBy("block").agg(F.count(F.lit(1)).alias("grams"), F.bit_and("ids").alias("ids"))
         both = both.where((F.col("grams") == len(chosen)) & (F.col("ids") != 0))
