@@ -79,7 +79,8 @@ class RangeTables:
             path = f"{record}/{change.table}"
             held = self._read(f"{self.root}/{change.table}", change.table).where(F.col("range").isin(touched)).drop("range")
             self._write(change.rewrite(held), change.table, path)
-            emptied = [(r,) for r in touched if f"range={r}" not in self._names(path)]
+            filled = set(self._names(path))
+            emptied = [(r,) for r in touched if f"range={r}" not in filled]
             self.spark.createDataFrame(emptied, "range bigint").coalesce(1).write.parquet(f"{record}/_emptied-{change.table}")
         # from here on the change counts
         self.spark.createDataFrame([(c.table,) for c in changes], "name string").coalesce(1).write.parquet(f"{record}/_tables")

@@ -155,3 +155,21 @@ def test_another_stream_is_refused(spark, folder):
     run_available(stream(), sink, f"{folder}/one").awaitTermination()
     with pytest.raises(Exception, match="belongs to the stream"):
         run_available(stream(), sink, f"{folder}/two").awaitTermination()
+
+
+def test_a_change_lists_its_folders_equally_often_for_any_number_of_ranges(spark, folder, stored, monkeypatch):
+    tables = opened(spark, folder)
+    tables.create("solutions", stored)
+    listed = []
+    names = RangeTables._names
+    monkeypatch.setattr(RangeTables, "_names", lambda self, path: listed.append(path) or names(self, path))
+
+    def listings(*ids):
+        listed.clear()
+        gone = spark.createDataFrame([(i,) for i in ids], "id bigint")
+        tables.apply(Change("solutions", gone, lambda part: part.join(gone, "id", "left_anti")))
+        return len(listed)
+
+    one = listings(3)
+    assert listings(4, 15, 26, 37, 48, 59, 61, 72) == one
+    assert tables.read("solutions").count() == 91
