@@ -1,8 +1,9 @@
 """A stored trigram index beside the texts of a table, so that a keyword search reads few of them.
 
 ``<path>/postings/part=N`` holds ``(gram, block, ids)``: the rows of part ``N`` whose texts contain three characters in
-sequence, one row for each gram and 64 neighbouring ids, a bit an id.  It is sorted by gram and block over all tasks, so a
-lookup reads the row groups of its grams only and a gram that nearly all texts share is spread by block.
+sequence, one row for each gram and 64 neighbouring ids, a bit an id.  A gram lies in one file, which is sorted by gram and
+block, so a lookup reads one page of the other files at most; a gram that all texts share has one row for 64 of them.  The
+number of files follows the length of all texts, so that a task's share does not grow with the table.
 ``<path>/counts/part=N`` holds ``(gram, n)``.
 
 A search takes the rarest grams of its word's literal pieces, joins their blocks by ``and`` of the bits and hands the ids
@@ -36,6 +37,10 @@ RAREST = 4
 """Grams of a word that are looked up."""
 PIECE_CHARS = 1 << 20
 """Characters listed at once; a longer text is cut into pieces that overlap by two."""
+HELD_ROWS = 1 << 21
+"""Postings that a task combines before they go into the shuffle."""
+FILE_CHARS = 1 << 23
+"""Characters of text for each file of postings."""
 STORED = "gram bigint, block bigint, ids bigint"
 
 
@@ -48,28 +53,42 @@ def _code(gram: str) -> int:
     return ord(gram[0]) << 42 | ord(gram[1]) << 21 | ord(gram[2])
 
 
-def _postings(ids: list[int], texts: list[str]) -> pa.RecordBatch:
-    """One row for each gram and block among ``texts``."""
+Postings = tuple[np.ndarray, np.ndarray, np.ndarray]
+
+
+def _combined(gram: np.ndarray, block: np.ndarray, ids: np.ndarray) -> Postings:
+    """One row for each gram and block, sorted."""
+    order = np.lexsort((block, gram))
+    gram, block, ids = gram[order], block[order], ids[order]
+    fresh = np.ones(len(gram), bool)
+    fresh[1:] = (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])
+    first = np.flatnonzero(fresh)
+    return gram[first], block[first], np.bitwise_or.reduceat(ids, first) if len(first) else ids
+
+
+def _postings(ids: list[int], texts: list[str]) -> Postings:
     chars = np.frombuffer("".join(texts).encode("utf-32-le"), np.uint32).astype(np.int64)
     row = np.repeat(np.arange(len(texts)), [len(t) for t in texts])
     at = np.flatnonzero(row[:-2] == row[2:])
     gram = chars[at] << 42 | chars[at + 1] << 21 | chars[at + 2]
     own = np.array(ids, np.int64)[row[at]]
-    order = np.lexsort((own, gram))
-    gram, own = gram[order], own[order]
-    block = own >> 6
-    fresh = np.ones(len(gram), bool)
-    fresh[1:] = (gram[1:] != gram[:-1]) | (block[1:] != block[:-1])
-    first = np.flatnonzero(fresh)
-    bits = np.left_shift(np.uint64(1), (own & 63).astype(np.uint64)).view(np.int64)
-    ids_of = np.bitwise_or.reduceat(bits, first) if len(first) else bits
-    return pa.RecordBatch.from_arrays([pa.array(v) for v in (gram[first], block[first], ids_of)], names=["gram", "block", "ids"])
+    return _combined(gram, own >> 6, np.left_shift(np.uint64(1), (own & 63).astype(np.uint64)).view(np.int64))
+
+
+def _merged(held: list[Postings]) -> Postings:
+    return _combined(*(np.concatenate(columns) for columns in zip(*held)))
+
+
+def _batch(postings: Postings) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([pa.array(v) for v in postings], names=["gram", "block", "ids"])
 
 
 def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The postings of a task, combined as far as ``HELD_ROWS`` allow: rows need not come in id order."""
     ids: list[int] = []
     texts: list[str] = []
-    size = 0
+    held: list[Postings] = []
+    size = rows = 0
     for batch in batches:
         for own, raw in zip(batch.column("id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist()):
             text = raw.decode("utf-8", "replace")
@@ -78,10 +97,19 @@ def _list_grams(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
                 texts.append(text[at : at + PIECE_CHARS + 2])
                 size += len(texts[-1])
                 if size >= PIECE_CHARS:
-                    yield _postings(ids, texts)
+                    held.append(_postings(ids, texts))
                     ids, texts, size = [], [], 0
+                    rows += len(held[-1][0])
+                    if rows >= HELD_ROWS:
+                        held = [_merged(held)]
+                        rows = len(held[0][0])
+                        if rows >= HELD_ROWS // 2:
+                            yield _batch(held.pop())
+                            rows = 0
     if texts:
-        yield _postings(ids, texts)
+        held.append(_postings(ids, texts))
+    if held:
+        yield _batch(_merged(held))
 
 
 @dataclass(frozen=True)
@@ -98,10 +126,11 @@ class TrigramIndex:
         ship_package(spark, lorekeep)
         text = alower(F.concat_ws("\n", *self.texts))
         key = rows.where(F.col(self.id).isNotNull()).select(F.col(self.id).cast("bigint").alias("id"), text.alias("text"))
-        # rows lie in id order, so a task adds most of a block's rows up before the shuffle
-        found = key.mapInArrow(_list_grams, STORED).groupBy("gram", "block").agg(F.bit_or("ids").alias("ids"))
-        ordered = found.repartitionByRange("gram", "block").sortWithinPartitions("gram", "block")
-        ordered.write.mode("overwrite").parquet(f"{self.path}/postings/part={part}")
+        files = (key.agg(F.sum(F.char_length("text").cast("bigint"))).first()[0] or 0) // FILE_CHARS + 1
+        # a task adds the rows of a block up before the one shuffle
+        found = key.mapInArrow(_list_grams, STORED).repartition(files, "gram")
+        found = found.groupBy("gram", "block").agg(F.bit_or("ids").alias("ids"))
+        found.sortWithinPartitions("gram", "block").write.mode("overwrite").parquet(f"{self.path}/postings/part={part}")
         stored = spark.read.schema(STORED).parquet(f"{self.path}/postings/part={part}")
         counts = stored.groupBy("gram").agg(F.sum(F.bit_count("ids")).alias("n"))
         counts.orderBy("gram").write.mode("overwrite").parquet(f"{self.path}/counts/part={part}")

@@ -153,3 +153,14 @@ def test_numbers_of_other_sources(spark, folder):
     with open(f"{folder}/empty.json", "w") as f:
         f.write(" \n")
     assert import_path(spark, f"{folder}/empty.json").summary.first()[0] == 0
+
+
+def test_files_of_postings_follow_the_texts_and_a_gram_lies_in_one(spark, folder, monkeypatch):
+    monkeypatch.setattr(trigrams, "FILE_CHARS", 1000, raising=False)
+    rows = table(spark, 100).where("length(solution_text) < 1000")
+    index = TrigramIndex(folder, TEXTS)
+    index.add(rows.repartition(3))
+    stored = spark.read.parquet(f"{folder}/postings").select("gram", F.input_file_name().alias("file"))
+    chars = rows.select(F.sum(F.char_length(F.concat_ws("\n", *TEXTS)))).first()[0]
+    assert chars // 2000 < stored.select("file").distinct().count() <= chars // 1000 + 1
+    assert stored.groupBy("gram").agg(F.count_distinct("file").alias("n")).where("n > 1").count() == 0
