@@ -7,6 +7,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from lorekeep.operators.captures import insert_captures, upsert_insights
+from lorekeep.operators.first_wins import WriteResult
 from lorekeep.plans.importing import import_candidates
 from lorekeep.session import stage, staging_root
 from workload import inputs as I
@@ -14,6 +15,7 @@ from workload import inputs as I
 AS_OF = "2024-01-05 00:00:00"
 LATER = "2024-02-03 04:05:06.789"
 _stored: dict[tuple[str, str, str], DataFrame] = {}
+_results: dict[tuple[str, str], WriteResult] = {}
 
 
 def _once(spark: SparkSession, sf_dir: str, name: str, make) -> DataFrame:
@@ -34,8 +36,12 @@ def solutions(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _once(spark, sf_dir, "solutions", make)
 
 
-def _inserted(spark: SparkSession, sf_dir: str):
-    return insert_captures(None, I.view(spark, sf_dir, I.CAPTURES))
+def _inserted(spark: SparkSession, sf_dir: str) -> WriteResult:
+    """The captures are keyed and numbered once for their table and their outcomes."""
+    key = (spark.sparkContext.applicationId, sf_dir)
+    if key not in _results:
+        _results[key] = insert_captures(None, I.view(spark, sf_dir, I.CAPTURES))
+    return _results[key]
 
 
 def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
