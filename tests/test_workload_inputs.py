@@ -31,6 +31,14 @@ def test_captures_are_keyed_once_for_their_table_and_their_insights(spark, folde
     assert labels.count("capture-keys") == 1
 
 
+def test_insights_write_their_texts_once(spark, folder, monkeypatch):
+    written = {}
+    stage = base.stage
+    monkeypatch.setattr(base, "stage", lambda df, label: written.update({label: df.columns}) or stage(df, label))
+    assert base.insights(spark, given(spark, folder)).where("summary = 'text 3'").count() == 1
+    assert [label for label, columns in written.items() if "summary" in columns] == ["insights"]
+
+
 def test_captures_with_insight_moves_only_the_columns_it_shows(spark, folder):
     rows = queries.captures_with_insight(spark, given(spark, folder))
     found = sorted((r["id"], r["analyzed"], r["summary"]) for r in rows.collect())

@@ -49,16 +49,16 @@ def captures(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def insight_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Insights with the id of their capture; copies of one text share a capture."""
-
-    def make() -> DataFrame:
-        ids = _inserted(spark, sf_dir).outcomes.where(F.col("id").isNotNull())
-        rows = I.view(spark, sf_dir, I.INSIGHTS).withColumnRenamed("capture_seq", "seq")
-        return rows.join(ids.select("seq", F.col("id").alias("capture_id")), "seq").withColumns(
-            {"source_ref": F.lit(""), "model": F.lit("m"), "provider": F.lit("p"), "raw_json": F.lit("{}")}
-        )
-
-    return _once(spark, sf_dir, "insight-rows", make)
+    """Insights with the id of their capture; copies of one text share a capture.
+
+    Not staged: the upsert reads ids alone first, then the texts, which stay where the join by ``seq`` has put them.
+    """
+    ids = _inserted(spark, sf_dir).outcomes.where(F.col("id").isNotNull())
+    ids = _once(spark, sf_dir, "insight-ids", lambda: ids.select("seq", F.col("id").alias("capture_id")))
+    rows = I.view(spark, sf_dir, I.INSIGHTS).withColumnRenamed("capture_seq", "seq")
+    return rows.join(ids, "seq").withColumns(
+        {"source_ref": F.lit(""), "model": F.lit("m"), "provider": F.lit("p"), "raw_json": F.lit("{}")}
+    )
 
 
 def insights(spark: SparkSession, sf_dir: str) -> DataFrame:
