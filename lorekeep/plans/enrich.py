@@ -102,9 +102,8 @@ def _parse(text: Column, schema: StructType) -> Column:
     return F.when(holds_one_value(text), value)
 
 
-def _kinds_hold(text: Column) -> Column:
-    """Whether texts, the number and the tags of an answer have these kinds (or are null or missing)."""
-    whole = F.try_parse_json(text)
+def _kinds_hold(whole: Column) -> Column:
+    """Whether texts, the number and the tags of an answer, read as a variant, have these kinds (or are null or missing)."""
     held = F.lit(True)
     for f in S.ANALYSIS.fields:
         raw = F.to_json(F.try_variant_get(whole, f"$.{f.name}", "variant"))
@@ -122,17 +121,20 @@ def _kinds_hold(text: Column) -> Column:
 
 
 def parse_responses(rows: DataFrame, body: str = "body") -> DataFrame:
-    """Adds the fields of the analysis and ``parse_error``; a bad answer fails its row, not the job."""
+    """Adds the fields of the analysis and ``parse_error``; a bad answer fails its row, not the job.
+
+    Stage the result before filtering by ``parse_error``: a filter would parse each answer anew for every rule it holds.
+    """
     envelope, answer = F.col("_envelope"), F.col("_answer")
     error = (
         F.when(envelope.isNull() | envelope["_corrupt"].isNotNull(), "bad_envelope")
         .when(is_blank(F.col("_text")), "empty_output")
-        .when(answer.isNull() | answer["_corrupt"].isNotNull() | ~_kinds_hold(F.col("_text")), "bad_json")
+        .when(answer.isNull() | answer["_corrupt"].isNotNull() | ~_kinds_hold(F.col("_whole")), "bad_json")
     )
     return (
         rows.withColumn("_envelope", _parse(F.col(body), S.ENVELOPE))
         .withColumn("_text", output_text(envelope))
-        .withColumn("_answer", _parse(F.col("_text"), S.ANALYSIS))
+        .withColumns({"_answer": _parse(F.col("_text"), S.ANALYSIS), "_whole": F.try_parse_json("_text")})
         .withColumn("parse_error", error)
         .select(*rows.columns, "parse_error", *[answer[f.name].alias(f.name) for f in S.ANALYSIS.fields])
     )
@@ -268,7 +270,8 @@ def _called(
         answers = kept_answers(work, extractor, keep_at, slices)
     else:
         answers = stage(work.mapInPandas(extractor, CALL_RESULT), "answers")
-    parsed = parse_responses(answers.where(F.col("status") == "ok"))
+    # read for the insights, for their ids and for the report: every answer is parsed once
+    parsed = stage(parse_responses(answers.where(F.col("status") == "ok")), "parsed-answers")
     good = normalize_analysis(parsed.where(F.col("parse_error").isNull()))
     source = captures.select("id", F.col("source").alias("capture_source"))
     fresh = good.join(source, "id").select(

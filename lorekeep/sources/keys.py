@@ -70,7 +70,10 @@ class KeyIndex:
         rows = fresh.select(self.key, "id", self._bucket().alias("bucket"), F.lit(batch_id).alias("batch_id"))
         rows = rows.repartition("bucket").sortWithinPartitions("bucket", self.key)
         writer = rows.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket", "batch_id")
-        writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true").parquet(self.path)
+        writer = writer.option(f"parquet.bloom.filter.enabled#{self.key}", "true")
+        # a filter as large as the bucket's keys ask for: without this each of the buckets takes 1 MB in every batch
+        expected = 2 * fresh.count() // BUCKETS + 64
+        writer.option(f"parquet.bloom.filter.expected.ndv#{self.key}", str(expected)).parquet(self.path)
         spark.range(1).select(F.lit(top).alias("id")).coalesce(1).write.mode("overwrite").parquet(
             f"{self.path}-top/batch_id={batch_id}"
         )
