@@ -9,7 +9,8 @@
 3.  Verification: in each batch a fingerprint that passes points to its first occurrence; every other occurrence is
     compared with it word by word, and those that differ get a pointer of their own.  The words at the pointer, not
     the fingerprint, are what the second shuffle adds up, so counts are exact.  Text is written out only here,
-    once for each pointer, and a task adds up its batches before the shuffle.
+    once for each pointer, and a task adds up its batches before the shuffle; when it holds too many, the rarer half goes on.
+    There are ``TASKS`` tasks for each core, however large the table, so a frequent phrase is handed on about as often.
 4.  Frequent sequences meet their parts, the lowest-scoring cut counts, and phrases that lie in a longer one with
     (nearly) the same count go.  It is enough to look one word longer: what lies between the two is no rarer than the longer.
 5.  Each language's best are ranked in two steps, first in slices of it.
@@ -40,9 +41,11 @@ TOP = 2000
 BITS = 1 << 26
 """Bits of one length's table; more fingerprints than this only let more sequences be counted."""
 COUNTED = 40
-BATCH = 4 << 20
+BATCH = 2 << 20
 HELD = 400_000
-"""Different phrases a task adds up before it hands them on."""
+"""Different phrases a task adds up before it hands some of them on."""
+TASKS = 2
+"""Tasks of the verification for each core."""
 SLICES = 256
 """Parts a language is ranked in before its best are ranked together."""
 
@@ -193,7 +196,7 @@ def _phrase_rows(counts: dict[tuple[str, int, bytes], int]) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([*columns, pa.array(counts.values(), pa.int64())], names=["lang", "size", "phrase", "n"])
 
 
-def _phrase_batches(longest: int, tables):
+def _phrase_batches(longest: int, tables, held: int = HELD):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         counts: dict[tuple[str, int, bytes], int] = {}
 
@@ -214,14 +217,21 @@ def _phrase_batches(longest: int, tables):
                 parts = np.stack([words.number[head + j] for j in range(k)], axis=1).tolist()
                 for x, row, n in zip(words.lang[head].tolist(), parts, count.tolist()):
                     add((words.langs[x], k, b" ".join([words.different[p] for p in row])), n)
-            if len(counts) > HELD:
-                yield _phrase_rows(counts)
-                counts.clear()
+            if len(counts) > held:
+                rare = int(np.median(np.fromiter(counts.values(), np.int64, len(counts))))
+                yield _phrase_rows({p: n for p, n in counts.items() if n <= rare})
+                counts = {p: n for p, n in counts.items() if n > rare}
         yield _phrase_rows(counts)
 
     return run
 
 
+def verified(texts: DataFrame, longest: int, tables) -> DataFrame:
+    """``(lang, size, phrase, n)``: the counts of each task, those of one phrase still apart."""
+    few = texts.coalesce(TASKS * texts.sparkSession.sparkContext.defaultParallelism)
+    return few.mapInArrow(_phrase_batches(longest, tables), "lang string, size int, phrase string, n bigint")
+
+
 def _bit_table(prints: DataFrame, bits: int) -> np.ndarray:
     """The table of bits of ``fp``; it comes to the driver in blocks, ``bits / 8`` bytes at most."""
     at = (F.col("fp").bitwiseAND(F.lit(bits - 1)) + 1).alias("at")  # positions count from 1
@@ -248,9 +258,11 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, longest: int = LONGEST
         counted = texts.mapInArrow(_count_batches(k, tables[-1] if tables else None), "fp bigint, n bigint")
         counted = counted.groupBy("fp").agg(F.sum("n").alias("n")).where(F.col("n") >= least)
         tables.append(spark.sparkContext.broadcast(_bit_table(counted, bits)))
-    found = texts.mapInArrow(_phrase_batches(longest, tables), "lang string, size int, phrase string, n bigint")
-    found = found.groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
-    return stage(found.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    found = verified(texts, longest, tables).groupBy("lang", "size", "phrase").agg(F.sum("n").alias("n"))
+    found = stage(found.where((F.col("size") == 0) | (F.col("n") >= least)), "phrases")
+    for table in tables:
+        table.destroy()
+    return found
 
 
 def _exact(column: str) -> "F.Column":

@@ -3,9 +3,11 @@ from __future__ import annotations
 import random
 import re
 from collections import Counter
+from pathlib import Path
 from types import SimpleNamespace
 
 import numpy as np
+import pyarrow as pa
 import pytest
 
 from lorekeep.llm import phrases
@@ -106,3 +108,36 @@ def test_scores_beyond_64_bits(spark, monkeypatch):
     monkeypatch.setattr(phrases, "frequent_phrases", lambda *_: given)
     (r,) = phrases.collocations(given).collect()
     assert r["score"] == 1000 * 9 * 10**12 * 9 * 10**15 // 10**26
+
+
+def test_tasks_of_the_verification_follow_the_cores(spark):
+    texts = spark.createDataFrame([("en", "a b a b")] * 90, "lang string, text string").repartition(45)
+    tables = [spark.sparkContext.broadcast(np.full(8, 255, np.uint8)) for _ in range(2)]
+    found = phrases.verified(texts, 2, tables)
+    assert found.rdd.getNumPartitions() == phrases.TASKS * spark.sparkContext.defaultParallelism < 45
+    counts = Counter()
+    for r in found.collect():
+        counts[r["size"], r["phrase"]] += r["n"]
+    assert counts == {(0, ""): 360, (1, "a"): 180, (1, "b"): 180, (2, "a b"): 180, (2, "b a"): 90}
+
+
+def test_full_tasks_keep_what_they_meet_often():
+    """A phrase of each batch is handed on once or twice, not with every batch of others."""
+    tables = [SimpleNamespace(value=np.full(8, 255, np.uint8))] * 2
+    texts = [f"hot spot. hot spot. {' '.join(f'w{k}x{j}' for j in range(40))}" for k in range(30)]
+    batches = [pa.RecordBatch.from_pydict({"lang": ["en"], "text": [t]}) for t in texts]
+    rows = [r for b in phrases._phrase_batches(2, tables, held=60)(iter(batches)) for r in b.to_pylist()]
+    hot = [r["n"] for r in rows if r["phrase"] == "hot spot"]
+    assert sum(hot) == 60 and len(hot) <= 2
+    counts = Counter()
+    for r in rows:
+        counts[r["lang"], *r["phrase"].split()] += r["n"] if r["size"] else 0
+    assert {n for p, n in counts.items() if p[-1].startswith("w") and p[1] != "spot"} == {1} and len(counts) > 30 * 79
+
+
+def test_tables_of_bits_are_given_back(spark, monkeypatch):
+    made, real = [], spark.sparkContext.broadcast
+    monkeypatch.setattr(spark.sparkContext, "broadcast", lambda value: made.append(real(value)) or made[-1])
+    docs = spark.createDataFrame([("en", "a b c")] * 5, "lang string, text string")
+    assert phrases.frequent_phrases(docs, least=5, bits=1 << 15).count() == 7
+    assert len(made) == 5 and not any(Path(t._path).exists() for t in made)
