@@ -206,7 +206,7 @@ def rule_answer(row: dict) -> str:
 
 def analyze_captures(
     captures: DataFrame,
-    insights: DataFrame,
+    insights: DataFrame | None,
     extractor: Callable[[Iterator[pd.DataFrame]], Iterator[pd.DataFrame]] | None = None,
     *,
     model: str = "",
@@ -219,7 +219,7 @@ def analyze_captures(
 ) -> tuple[DataFrame, DataFrame]:
     """The new insight table, and ``(id, status, error)`` per capture.
 
-    The extractor gets ``id``, ``content``, ``content_type`` and ``captured_at``, and with a ``prompt``
+    ``insights`` is the table so far; where there is none, all captures are asked for.  The extractor gets ``id``, ``content``, ``content_type`` and ``captured_at``, and with a ``prompt``
     also the ready ``request_json``.
     Status is ``cached`` where an insight exists, ``throttled`` where the recent ring of
     ``throttle_by`` refuses, else the result of the call: ``ok``, ``unavailable``, ``timeout``,
@@ -227,9 +227,11 @@ def analyze_captures(
     executor or a later step never repeats a finished call.  With ``keep_at``, a folder that names the run, they are kept
     there in ``slices`` and a run that failed goes on where it stopped (see ``kept_answers``).
     """
-    # The ids are compared first, so the texts of captures with an insight never move.
-    todo = stage(unanalyzed(captures.select("id"), insights), "pending")
-    pending = captures.join(todo, "id", "left_semi")
+    pending = captures
+    if insights is not None:
+        # The ids are compared first, so the texts of captures with an insight never move.
+        todo = stage(unanalyzed(captures.select("id"), insights), "pending")
+        pending = captures.join(todo, "id", "left_semi")
     if throttle_by:
         ring = recent_ring(
             pending.select(F.col(throttle_by).alias("key"), F.col("id").alias("seq"), content_hash(F.col("content")).alias("hash"))
@@ -240,11 +242,10 @@ def analyze_captures(
         )
         pending = pending.join(ring.where("accepted").select("id"), "id", "left_semi")
     fresh, called = _called(captures, pending, extractor, model, provider, prompt, keep_at, slices)
-    report = called.unionByName(
-        captures.select("id")
-        .join(insights.select(F.col("capture_id").alias("id")), "id", "left_semi")
-        .select("id", F.lit("cached").alias("status"), F.lit("").alias("error"))
-    )
+    report = called
+    if insights is not None:
+        held = captures.select("id").join(insights.select(F.col("capture_id").alias("id")), "id", "left_semi")
+        report = called.unionByName(held.select("id", F.lit("cached").alias("status"), F.lit("").alias("error")))
     if throttle_by:
         report = report.unionByName(refused)
     return upsert_insights(insights, fresh, as_of), report
@@ -266,12 +267,14 @@ def _called(
     if prompt is not None:
         work = work.withColumn("request_json", request_json(model, prompt))
     extractor = extractor or calls(rule_answer)
+    # read for the insights, for their ids and for the report: every answer is parsed once
     if keep_at:
         answers = kept_answers(work, extractor, keep_at, slices)
+        parsed = stage(parse_responses(answers.where(F.col("status") == "ok")), "parsed-answers")
     else:
-        answers = stage(work.mapInPandas(extractor, CALL_RESULT), "answers")
-    # read for the insights, for their ids and for the report: every answer is parsed once
-    parsed = stage(parse_responses(answers.where(F.col("status") == "ok")), "parsed-answers")
+        # answers are long: they are stored with what they were parsed to, not once more beside it
+        answers = stage(parse_responses(work.mapInPandas(extractor, CALL_RESULT)), "parsed-answers")
+        parsed = answers.where(F.col("status") == "ok")
     good = normalize_analysis(parsed.where(F.col("parse_error").isNull()))
     source = captures.select("id", F.col("source").alias("capture_source"))
     fresh = good.join(source, "id").select(

@@ -13,16 +13,28 @@ from lorekeep.operators.solutions import create_solutions
 from lorekeep.session import stage
 
 
-def promotion_requests(captures: DataFrame, insights: DataFrame, asked: DataFrame) -> DataFrame:
-    """Create requests for ``asked(seq, id)`` (``id`` unique); captures without an insight drop out."""
-    picked = captures.select("id", "content", F.col("source").alias("capture_source")).join(asked, "id")
-    told = insights.withColumnRenamed("capture_id", "id").join(asked.select("id"), "id", "left_semi")
+def promotion_requests(captures: DataFrame, insights: DataFrame, asked: DataFrame | None = None) -> DataFrame:
+    """Create requests for ``asked(seq, id)`` (``id`` unique), or for all captures in order of their ids; captures without
+    an insight drop out."""
+    # a long text stays where it lies
+    picked = captures.select(
+        "id",
+        fallback_title(F.col("content")).alias("capture_title"),
+        keep_raw_if_short(F.col("content")).alias("raw_content"),
+        F.col("source").alias("capture_source"),
+    )
+    told = insights.withColumnRenamed("capture_id", "id")
+    if asked is None:
+        picked = picked.withColumn("seq", F.col("id"))
+    else:
+        picked = picked.join(asked, "id")
+        told = told.join(asked.select("id"), "id", "left_semi")
     return picked.join(told, "id").select(
         "seq",
-        first_non_blank(F.col("title"), fallback_title(F.col("content"))).alias("title"),
+        first_non_blank(F.col("title"), F.col("capture_title")).alias("title"),
         "problem",
         first_non_blank(F.col("solution_text"), F.col("summary")).alias("solution_text"),
-        keep_raw_if_short(F.col("content")).alias("raw_content"),
+        "raw_content",
         F.lit("auto").alias("efficacy_source"),
         first_non_blank(F.col("suggested_status"), F.lit(S.DEFAULT_SUGGESTED_STATUS)).alias("status"),
         F.lit("capture").alias("source_type"),

@@ -41,7 +41,7 @@ def in_id_order(df: DataFrame) -> DataFrame:
 
 
 def write_part(df: DataFrame, path: str, batch_id: int, *, sort: bool = True) -> None:
-    (in_id_order(df) if sort else df).write.mode("overwrite").parquet(f"{path}/batch_id={batch_id}")
+    (in_id_order(df) if sort else df).write.mode("overwrite").option("compression", "zstd").parquet(f"{path}/batch_id={batch_id}")
 
 
 def has_parts(spark: SparkSession, path: str) -> bool:

@@ -4,7 +4,7 @@ The stored captures are the deduplication state, so no streaming state grows wit
 micro-batch looks its hashes up in an index beside the captures (``sources.keys``), which opens only the buckets they fall
 into, and takes the highest id from a one-row file: what it reads does not grow with history.  It
 appends one part per table, named by the batch id and computed only from earlier parts: a replayed
-batch writes the same parts again.  The root belongs to one stream; another one's batch is refused.  What became of each row, and of each analysis, is kept in parts too.
+batch writes the same parts again.  What a batch stages on the way is removed when its parts are written.  The root belongs to one stream; another one's batch is refused.  What became of each row, and of each analysis, is kept in parts too.
 """
 
 from __future__ import annotations
@@ -21,7 +21,7 @@ from lorekeep.operators.first_wins import outcomes, resolve_keys
 from lorekeep.operators.solutions import created_solutions, keyed_creates
 from lorekeep.plans.enrich import analyze_captures
 from lorekeep.plans.promote import promotion_requests
-from lorekeep.session import stage
+from lorekeep.session import scratch, stage
 from lorekeep.sources.keys import KeyIndex
 from lorekeep.sources.tables import read_parts, write_part
 from lorekeep.streaming.runner import claim
@@ -80,25 +80,31 @@ class CaptureSink:
     def __call__(self, batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
         claim(spark, self.root)
-        keyed = keyed_captures(batch)
-        resolved = self._resolved(keyed, "captures", "content_hash", batch_id)
-        told = S.conform(outcomes(keyed, resolved, "content_hash"), OUTCOME)
-        write_part(told, f"{self.root}/outcomes", batch_id, sort=False)
-        write_part(captured_rows(batch, resolved, self.as_of), f"{self.root}/captures", batch_id)
+        with scratch(spark):
+            keyed = keyed_captures(batch)
+            resolved = self._resolved(keyed, "captures", "content_hash", batch_id)
+            told = S.conform(outcomes(keyed, resolved, "content_hash"), OUTCOME)
+            write_part(told, f"{self.root}/outcomes", batch_id, sort=False)
+            write_part(captured_rows(batch, resolved, self.as_of), f"{self.root}/captures", batch_id)
         if self.auto_analyze:
-            self._analyze_and_promote(spark, batch_id)
+            with scratch(spark):
+                self._analyze(spark, batch_id)
+            with scratch(spark):
+                self._promote(spark, batch_id)
 
-    def _analyze_and_promote(self, spark: SparkSession, batch_id: int) -> None:
+    def _analyze(self, spark: SparkSession, batch_id: int) -> None:
         part = spark.read.schema(S.CAPTURE).parquet(f"{self.root}/captures/batch_id={batch_id}")
-        none = spark.createDataFrame([], S.INSIGHT)
         fresh, report = analyze_captures(
-            part, none, self.extractor, model=self.model, provider=self.provider, as_of=self.as_of
+            part, None, self.extractor, model=self.model, provider=self.provider, as_of=self.as_of
         )
         write_part(report, f"{self.root}/analyses", batch_id, sort=False)
         write_part(fresh, f"{self.root}/insights", batch_id)
+
+    def _promote(self, spark: SparkSession, batch_id: int) -> None:
+        part = spark.read.schema(S.CAPTURE).parquet(f"{self.root}/captures/batch_id={batch_id}")
         insights = spark.read.schema(S.INSIGHT).parquet(f"{self.root}/insights/batch_id={batch_id}")
-        asked = part.select(F.col("id").alias("seq"), "id")
-        requests = promotion_requests(part, insights, asked)
+        # read for the keys and for the new rows: captures and insights meet once
+        requests = stage(promotion_requests(part, insights), "promotion-requests")
         keyed = keyed_creates(requests)
         resolved = self._resolved(keyed, "solutions", "dedup_key", batch_id)
         write_part(created_solutions(requests, resolved, self.as_of), f"{self.root}/solutions", batch_id)
